@@ -4,17 +4,19 @@ A document's set holds the hashes (64 bits) of its distinct runs of ``n`` words,
 run, no words an empty set. Two documents link when ``100 * |A & B| >= percent * |A | B|``. Equal sets form one class
 first, however many copies there are, and the join runs between classes:
 
-1. Any order of shingles allows this: a partner lacks at most ``floor((1 - percent/100) * |A|)`` of A, so the first
-   that many plus one shingles of both sets must meet. The order used puts shingles that are frequent anywhere in the
-   corpus last. A tile is one such shingle within one band of sizes (a power of two; sets that may have a partner in
-   the band below are in that tile too).
+1. Any order of shingles allows this: partners lack at most ``floor((1 - percent/100) * |A|)`` of each other's
+   shingles, so the first that many plus ``depth`` shingles of both sets share at least ``depth``, with
+   ``depth = 1 + |smaller| // STRICT``. The order used puts shingles that are frequent anywhere in the corpus last.
+   A tile is one such shingle within one band of sizes (a power of two; sets that may have a partner in the band
+   below are in that tile too).
 2. In every tile, sorted by size, each set is paired with the tile's leader (the first that is large enough).
-   Pairs are verified exactly and connected; a group of near copies collapses here in as many pairs as members.
-3. Tiles that still hold several components are searched fully: sets within the size ratio of each other are held
-   against each other by their bitmaps of hashed shingles. Bits that one has and the other lacks are distinct missing
-   shingles, so their counts bound the overlap from above; pairs that can still reach the threshold and are not yet
-   connected are verified by exact intersection. No pair that shares a tile escapes both the bound and the check, so
-   the components are those of all links.
+   Pairs that meet often enough are verified exactly and connected; a group of near copies collapses here in about as
+   many pairs as members. This step may miss links, it only saves work.
+3. Tiles that still hold several components are searched fully: unconnected sets within the size ratio of each other
+   are counted over the tiles, and must meet ``depth`` times. Then bitmaps of hashed shingles (2 to 4 bits a shingle)
+   are compared: bits that one has and the other lacks are distinct missing shingles, so their counts bound the
+   overlap from above. What is left is verified by exact intersection of the shingle arrays. No link escapes the two
+   bounds and the check, so the components are those of all links.
 
 Rows: (doc_id, n_shingles, component_id); component_id is the least doc_id reachable. Null and empty texts link with
 nothing and keep their own id. Rows that repeat an id are rows of their own with that id. Extra columns are ignored.
@@ -22,6 +24,7 @@ nothing and keep their own id. Rows that repeat an id are rows of their own with
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +38,10 @@ from convoweave.operators.components import connected_components
 from convoweave.shared import stage
 
 SHINGLE, PERCENT = 3, 90
-BITS = 1024
+STRICT = 50
 BLOCK_CHARS = 1_500_000
 #: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
-COUNTED, OFTEN, FREQUENT = 4_000_000, 5, 200_000
-BLOCK_SETS = 256
+COUNTED, OFTEN, FREQUENT = 4_000_000, 5, 50_000
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,20 +84,22 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for k, salt in enumerate((1, 0x5851F42D4C957F2D)):
                 sums = np.r_[np.uint64(0), np.cumsum(mix(h * np.uint64(salt) + np.uint64(salt)))]
                 ids[:, k] = sums[starts + sizes] - sums[starts]
-            bits = np.zeros((len(texts), BITS // 8), np.uint8)
-            at = h >> np.uint64(64 - BITS.bit_length() + 1)
-            np.bitwise_or.at(bits, (doc, (at >> np.uint64(3)).astype(np.int64)), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            width = np.int64(8) << np.maximum(0, np.frexp(np.maximum(sizes, 1))[1].astype(np.int64) - 2)
+            offsets = np.r_[0, np.cumsum(width // 8)]
+            bits = np.zeros(offsets[-1], np.uint8)
+            at = (h & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+            np.bitwise_or.at(bits, offsets[doc] + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
             where = np.searchsorted(hot, h)
             where[where == len(hot)] = 0
             weight = np.where(hot[where] == h, rank[where], 0) if len(hot) else np.zeros(len(h), np.int64)
             order = np.lexsort((h, weight, doc))
             position = np.arange(len(h)) - starts[doc]
-            taken = position <= sizes[doc] * (100 - percent) // 100
+            taken = position <= sizes[doc] * (100 - percent) // 100 + sizes[doc] // STRICT
             prefix = h[order][taken].view(np.int64)
             cuts = np.cumsum(np.bincount(doc[taken], minlength=len(texts)))[:-1]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "n": sizes, "set_id": [x.tobytes() for x in ids],
-                "prefix": np.split(prefix, cuts) if len(texts) else [], "bitmap": [x.tobytes() for x in bits],
+                "prefix": np.split(prefix, cuts) if len(texts) else [], "bitmap": [bits[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)],
             })
 
     return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n long, set_id binary, prefix array<long>, bitmap binary")
@@ -141,42 +145,58 @@ def leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected sets of a tile whose bitmaps allow the threshold. ``members``: tile, vid, n, comp, bitmap."""
+    """Unconnected sets that meet often enough. ``members``: tile, vid, n, comp. A tile is held whole, 32 bytes a row."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+                tile = rows["tile"].to_numpy()
+                whole = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0  # tiles are sorted
+                rows, rest = rows.iloc[:whole], rows.iloc[whole:]
+            elif rest is None:
+                return
+            else:
+                rows = rest
+            t, v, n, comp = (rows[c].to_numpy() for c in ("tile", "vid", "n", "comp"))
+            later, shift = np.arange(len(t)), 0
+            while len(later):
+                shift += 1
+                later = later[later >= shift]
+                later = later[(t[later] == t[later - shift]) & (100 * n[later - shift] >= percent * n[later])]
+                pick = later[comp[later] != comp[later - shift]]
+                if len(pick):
+                    x, y = v[pick - shift], v[pick]
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "need": 1 + n[pick - shift] // STRICT})
+
+    met = members.repartition("tile").sortWithinPartitions("tile", "n", "vid").mapInPandas(search, "a long, b long, need long")
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+
+
+def fold(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap brought to ``size`` bytes, a smaller power of two: bits are the low bits of the hash."""
+    x = np.frombuffer(bitmap, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow the threshold."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), BLOCK_SETS):
-                block = batch.iloc[start : start + BLOCK_SETS]
-                new = {c: block[c].to_numpy() for c in ("tile", "vid", "n", "comp")}
-                new["bits"] = np.frombuffer(b"".join(block["bitmap"]), np.uint64).reshape(len(block), BITS // 64)
-                if held is None:
-                    every = new
-                else:  # rows of the block's first tile that are large enough to matter
-                    keep = (held["tile"] == new["tile"][0]) & (100 * held["n"] >= percent * new["n"][0])
-                    every = {k: np.concatenate([held[k][keep], new[k]]) for k in new}
-                base = len(every["vid"]) - len(block)
-                for k in range(len(block)):
-                    i = base + k
-                    low = np.searchsorted(every["tile"][:i] != every["tile"][i], False) if every["tile"][0] != every["tile"][i] else 0
-                    low += np.searchsorted(100 * every["n"][low:i], percent * every["n"][i])
-                    if low >= i:
-                        continue
-                    other = slice(low, i)
-                    differ = every["comp"][other] != every["comp"][i]
-                    if not differ.any():
-                        continue
-                    x, y = every["bits"][i], every["bits"][other]
-                    lacks_y = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
-                    lacks_x = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
-                    n_x, n_y = every["n"][i], every["n"][other]
-                    most = np.minimum(n_x - lacks_y, n_y - lacks_x)
-                    good = np.flatnonzero(differ & (100 * most >= percent * (n_x + n_y - most)))
-                    if len(good):
-                        yield pd.DataFrame({"a": every["vid"][other][good], "b": np.full(len(good), every["vid"][i])})
-                held = every
-
-    return members.repartition("tile").sortWithinPartitions("tile", "n", "vid").mapInPandas(search, "a long, b long")
+            good = []
+            for x, y, n_x, n_y in zip(batch["bitmap_a"], batch["bitmap_b"], batch["n_a"], batch["n_b"], strict=True):
+                size = min(len(x), len(y))
+                p, q = fold(x, size), fold(y, size)
+                most = min(n_x - int(np.bitwise_count(p & ~q).sum()), n_y - int(np.bitwise_count(q & ~p).sum()))
+                good.append(100 * most >= percent * (n_x + n_y - most))
+            yield batch.loc[good, ["a", "b"]]
+
+    left, right = (sets.select(F.col("vid").alias(v), F.col("n").alias(f"n_{v}"), F.col("bitmap").alias(f"bitmap_{v}")) for v in "ab")
+    return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -212,18 +232,18 @@ def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.count("*").alias("n_copies"))
     sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()).withColumn("ratio", F.lit(percent / 100)), "join-classes")
     shared = stage(leader_pairs(sets, percent), "join-tiles")
-    pairs = shared.where("b is not null").select("a", "b").distinct()
     vids = lambda df: df.select(F.col("a").alias("vid")).unionByName(df.select(F.col("b").alias("vid"))).distinct()
-    pairs = stage(pairs, "join-leader-pairs")
+    sizes = sets.select(F.col("vid").alias("a"), "n")
+    pairs = shared.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("met")).join(sizes, "a").where(f"met >= 1 + floor(n / {STRICT})").select("a", "b")
+    pairs = stage(not_excluded(pairs, sets, percent), "join-leader-pairs")
     links = stage(verified(pairs, shingle_arrays(docs, sets, vids(pairs), n), percent), "join-leader-links")
     first = connected_components(links)
 
     members = shared.select("tile", F.coalesce("b", "a").alias("vid")).distinct()
     members = members.join(first.withColumnRenamed("v", "vid"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).drop("root")
     several = members.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-    members = members.join(several, "tile").join(sets.select("vid", "n", "bitmap"), "vid")
-    rest = stage(open_pairs(members, percent).distinct(), "join-open-pairs")
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
+    members = members.join(several, "tile").join(sets.select("vid", "n"), "vid").select("tile", "vid", "n", "comp")
+    rest = stage(not_excluded(open_pairs(members, percent), sets, percent), "join-open-pairs")
     more = stage(verified(rest, shingle_arrays(docs, sets, vids(rest), n), percent), "join-open-links")
     comps = connected_components(links.unionByName(more)) if more.head(1) else first
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -11,11 +9,15 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-@functools.lru_cache(maxsize=1)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.cumprod(np.full(n, BASE, np.uint64))
-    down = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
-    return up, down
+    """Powers of the base and of its inverse; the last size asked for is kept."""
+    if n not in _powers:
+        _powers.clear()
+        _powers[n] = np.cumprod(np.full(n, BASE, np.uint64)), np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
+    return _powers[n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
