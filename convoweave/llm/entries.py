@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoweave.llm import decontamination, mixing, ngram_join, quality_neighbours, quality_rules, sharding, toxicity, url_filters
+from convoweave.llm import decontamination, mixing, ngram_join, quality_neighbours, quality_rules, repeats, sharding, toxicity, training_order, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -10,9 +10,11 @@ MODULES = {
     "op3_ngram_join": ngram_join,
     "op4_mixing": mixing,
     "op5_quality_classifier": quality_neighbours,
+    "op6_repeated_substrings": repeats,
     "op7_url_filters": url_filters,
     "op8_sharding": sharding,
     "op9_decontamination": decontamination,
+    "op10_training_order": training_order,
 }
 
 
