@@ -5,7 +5,8 @@ Every text is its UTF-8 bytes (null: none); matches never cross texts. The work
 1. Texts are gathered by a 64-bit hash into a bucketed table, once each with the number of copies.
 2. In every window of ``LENGTH`` bytes the ``GRAM``-byte string of least hash is its anchor, so equal windows have equal
    anchors at equal places. Anchors seen once need no further look.
-3. Each repeated anchor sends its surroundings (the bytes of all windows that contain it) to the anchor's hash. There
+3. Each repeated anchor sends its surroundings (the bytes of all windows that contain it) to the anchor's hash. Equal
+   surroundings meet as neighbours and are collapsed to one as they stream by, so a hot passage takes little memory. Then
    windows are ordered by their content, and neighbours in that order that are equal are repeats: the previous one in
    order of position is an earlier match, the next a later one.
 4. The repeats go back to their text as byte ranges and are merged.
@@ -31,7 +32,7 @@ from convoweave.llm.samples import blocks
 from convoweave.llm.shingles import mix, powers
 from convoweave.shared import stage, staging_path
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 128
 SPREAD = LENGTH - GRAM
 BLOCK_CHARS = 1_000_000
 BLOCK_CONTEXTS = 4_000
@@ -161,14 +162,30 @@ def repeats_in(h: np.ndarray, tid: np.ndarray, pos: np.ndarray, size: np.ndarray
 
 
 def repeated_ranges(contexts: DataFrame, first_kept: bool) -> DataFrame:
+    def identical(rows: pd.DataFrame) -> np.ndarray:
+        """Whether each row has the surroundings of the row before it."""
+        c, h, left, right = (rows[x].to_numpy() for x in ("context", "h", "left", "right"))
+        return np.r_[False, (h[1:] == h[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (c[1:] == c[:-1])]
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        """All windows around these anchors."""
+        return pd.DataFrame({"tid": rows["tid"], "low": np.maximum(0, rows["pos"] - SPREAD), "high": np.minimum(rows["pos"], rows["size"] - LENGTH) + LENGTH})
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, last = None, None
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+                # Anchors with equal surroundings repeat each other entirely; one of them stands for all in what follows.
+                rows = b if last is None else pd.concat([last, b], ignore_index=True)
+                same, old = identical(rows), int(last is not None)
+                last = rows.iloc[-1:]
+                again = same | (np.r_[same[1:], False] if not first_kept else False)
+                yield whole(rows[again])
+                rows = rows[~same].iloc[old:] if old else rows[~same]
+                rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
                 h = rows["h"].to_numpy()
-                whole = int(np.searchsorted(h, h[-1])) if len(h) else 0
-                rows, rest = rows.iloc[:whole], rows.iloc[whole:]
+                done = int(np.searchsorted(h, h[-1])) if len(h) else 0
+                rows, rest = rows.iloc[:done], rows.iloc[done:]
             elif rest is None:
                 return
             else:
@@ -180,7 +197,9 @@ def repeated_ranges(contexts: DataFrame, first_kept: bool) -> DataFrame:
                 yield repeats_in(h[i:j], *(rows[c].to_numpy()[i:j] for c in ("tid", "pos", "size")), rows["context"].tolist()[i:j], first_kept)
                 i = j
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInPandas(search, "tid long, low long, high long")
+    sides = contexts.withColumn("left", F.least("pos", F.lit(SPREAD))).withColumn("right", F.least(F.col("size") - F.col("pos"), F.lit(LENGTH)))
+    dealt = sides.repartition("h").sortWithinPartitions("h", "context", "left", "right", "tid", "pos")
+    return dealt.mapInPandas(search, "tid long, low long, high long")
 
 
 def merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
