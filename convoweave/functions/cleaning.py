@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Roles and the patterns of what exports leave in messages.
 HUMAN_ROLES = ("human", "user", "you", "me")
@@ -58,7 +59,7 @@ def normalize_whitespace(text: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, ""), r"(?U)^\s+|\s+\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
