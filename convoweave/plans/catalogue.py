@@ -85,7 +85,7 @@ edges AS (SELECT src, dst, round(sum(added), 6) AS weight, max_by(relationship,
 ways AS (SELECT src, dst, weight, relationship FROM edges UNION ALL SELECT dst, src, weight, relationship FROM edges)"""
 BASE = f"WITH {CONV}, {TAGS}"
 GRAPH = f"{BASE}, {LOG}"
-TWO_HOP = "two AS (SELECT a.conv_id AS src, b.conv_id AS dst, round(sum(0.3 * 1.0 * 1.0), 6) AS score, count(*) AS paths FROM tags a JOIN tags b ON a.tag = b.tag AND a.conv_id <> b.conv_id GROUP BY ALL)"
+TWO_HOP = "two AS (SELECT a.conv_id AS src, b.conv_id AS dst, round(sum(0.3::DOUBLE), 6) AS score, count(*) AS paths FROM tags a JOIN tags b ON a.tag = b.tag AND a.conv_id <> b.conv_id GROUP BY ALL)"
 CAND = f"""{TWO_HOP}, cand AS (SELECT coalesce(w.src, two.src) AS src, coalesce(w.dst, two.dst) AS dst, round(coalesce(w.weight, 0) + coalesce(two.score, 0), 6) AS score,
   coalesce(relationship, 'indirect') AS relationship FROM ways w FULL JOIN two ON w.src = two.src AND w.dst = two.dst),
 links AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM cand WHERE score >= 0.3 QUALIFY rank <= 10)"""
@@ -258,8 +258,8 @@ reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON
 query("link_direct", f"{GRAPH} SELECT src, dst, weight AS score, relationship FROM ways")(lambda s, d: L.direct(edges(s, d)))
 query("link_indirect", f"{BASE}, {TWO_HOP} SELECT * FROM two")(lambda s, d: L.indirect(term_edges(s, d)))
 query("link_topk", f"{GRAPH}, {CAND} SELECT * FROM links")(links)
-query("concept_links", f"""WITH {TAGS}, occ AS (SELECT tag, count(*) AS c FROM tags GROUP BY tag) SELECT conv_id, tag, round(n * (1 + 0.1 * c), 6) AS score,
-row_number() OVER (PARTITION BY conv_id ORDER BY round(n * (1 + 0.1 * c), 6) DESC, tag) AS rank FROM tags JOIN occ USING (tag) QUALIFY rank <= 15""")(
+query("concept_links", f"""WITH {TAGS}, occ AS (SELECT tag, count(*) AS c FROM tags GROUP BY tag) SELECT conv_id, tag, round(n * (1 + 0.1::DOUBLE * c), 6) AS score,
+row_number() OVER (PARTITION BY conv_id ORDER BY round(n * (1 + 0.1::DOUBLE * c), 6) DESC, tag) AS rank FROM tags JOIN occ USING (tag) QUALIFY rank <= 15""")(
     lambda s, d: (lambda t: G.topk(t.join(t.groupBy("tag").agg(F.count("*").alias("c")), "tag").select("conv_id", "tag", F.round(F.col("n") * (1 + L.BOOST * F.col("c")), 6).alias("score")), ["conv_id"], [F.desc("score"), F.col("tag")], L.CONCEPTS))(tags(s, d)))
 query("prev_next", f"WITH {CONV} SELECT conv_id, lag(title) OVER w AS previous_title, lead(title) OVER w AS next_title FROM conv WINDOW w AS (PARTITION BY category ORDER BY created_at, conv_id)")(
     lambda s, d: L.in_sequence(conv(s, d), ["category"]))
