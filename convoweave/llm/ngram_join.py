@@ -9,9 +9,10 @@ first, however many copies there are, and the join runs between classes:
    ``depth = 1 + |smaller| // STRICT``. The order used puts shingles that are frequent anywhere in the corpus last.
    A tile is one such shingle within one band of sizes (a power of two; sets that may have a partner in the band
    below are in that tile too).
-2. In every tile, sorted by size, each set is paired with the tile's leader (the first that is large enough).
-   Pairs that meet often enough are verified exactly and connected; a group of near copies collapses here in about as
-   many pairs as members. This step may miss links, it only saves work.
+2. In every tile, in the order of a hash of the sets' numbers (the same order in all tiles), each set is paired with
+   the ``NEIGHBOURS`` that follow. Pairs of fitting sizes that meet often enough are verified exactly and connected.
+   Random pairs of a large group of near copies make it one component, in a number of pairs that grows with its
+   members alone, even if only one pair in ten links. This step may miss links, it only saves work.
 3. Tiles that still hold several components are searched fully: unconnected sets within the size ratio of each other
    are counted over the tiles, and must meet ``depth`` times. Then bitmaps of hashed shingles (2 to 4 bits a shingle)
    are compared: bits that one has and the other lacks are distinct missing shingles, so their counts bound the
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoweave.llm.samples import blocks
@@ -39,6 +40,7 @@ from convoweave.shared import stage
 
 SHINGLE, PERCENT = 3, 90
 STRICT = 50
+NEIGHBOURS = 32
 BLOCK_CHARS = 1_500_000
 #: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
 COUNTED, OFTEN, FREQUENT = 4_000_000, 5, 50_000
@@ -105,43 +107,42 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n long, set_id binary, prefix array<long>, bitmap binary")
 
 
-def tiles(sets: DataFrame) -> DataFrame:
-    """(tile, vid, n) sorted by tile and size inside partitions; a tile's rows are in one partition."""
+def tiles(sets: DataFrame, order: Column) -> DataFrame:
+    """(tile, vid, n) sorted by tile and ``order`` inside partitions; a tile's rows are in one partition."""
     band = F.floor(F.log2("n")).cast("int")
     bands = F.when(F.col("n") * F.col("ratio") < F.pow(F.lit(2), band), F.array(band, band - 1)).otherwise(F.array(band))
     keys = sets.select("vid", "n", F.explode("prefix").alias("key"), bands.alias("bands"))
     rows = keys.select("vid", "n", "key", F.explode("bands").alias("band")).select("vid", "n", F.xxhash64("key", "band").alias("tile"))
-    return rows.repartition("tile").sortWithinPartitions("tile", "n", "vid")
+    return rows.repartition("tile").sortWithinPartitions("tile", order, "vid")
 
 
-def leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of shared tiles: a pair (a, b) with the tile's leader as a, or b null for the leader itself."""
+def neighbour_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Members of shared tiles as (tile, a, null, null), and pairs (null, a, b, need) of members at most ``NEIGHBOURS`` apart."""
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, leader, size, told = None, None, 0, True
+        kept = None  # the last rows of the batch before
         for batch in batches:
-            t, v, n = (batch[c].to_numpy() for c in ("tile", "vid", "n"))
-            same = np.r_[t[:1] == tile if tile is not None else [False], t[1:] == t[:-1]]
-            out: list[tuple[int, int, int | None]] = []
-            begins = np.maximum.accumulate(np.where(~same, np.arange(len(t)), -1))
-            for i in np.flatnonzero(same):
-                j = begins[i]
-                lead, lead_n = (v[j], n[j]) if j >= 0 else (leader, size)
-                if j >= 0 and i == j + 1 or j < 0 and not told:
-                    out.append((t[i], lead, None))
-                    told = told or j < 0
-                if 100 * lead_n >= percent * n[i]:
-                    out.append((t[i], lead, v[i]))
-                else:
-                    out.append((t[i], v[i], None))
-            if len(t):
-                last = begins[-1]
-                if last >= 0:
-                    leader, size, told = v[last], n[last], bool(same[-1])
-                tile = t[-1]
-            yield pd.DataFrame({"tile": pd.array([x[0] for x in out], "Int64"), "a": pd.array([x[1] for x in out], "Int64"), "b": pd.array([x[2] for x in out], "Int64")})
-
-    return tiles(sets).mapInPandas(pair, "tile long, a long, b long")
+            if not len(batch):
+                continue
+            rows, old = (batch, 0) if kept is None else (pd.concat([kept, batch], ignore_index=True), len(kept))
+            t, v, n = (rows[c].to_numpy() for c in ("tile", "vid", "n"))
+            at = np.arange(max(old, 1), len(t))
+            later = at[t[at] == t[at - 1]]
+            begins = later[(later == 1) | (t[later - 2] != t[later - 1])] - 1
+            told = np.r_[later, begins]
+            yield pd.DataFrame({"tile": pd.array(t[told], "Int64"), "a": v[told], "b": pd.array([None] * len(told), "Int64"), "need": pd.array([None] * len(told), "Int64")})
+            for shift in range(1, NEIGHBOURS + 1):
+                later = later[later >= shift]
+                later = later[t[later] == t[later - shift]]
+                if not len(later):
+                    break
+                small, large = np.minimum(n[later], n[later - shift]), np.maximum(n[later], n[later - shift])
+                pick, need = later[100 * small >= percent * large], 1 + small[100 * small >= percent * large] // STRICT
+                x, y = v[pick - shift], v[pick]
+                yield pd.DataFrame({"tile": pd.array([None] * len(pick), "Int64"), "a": np.minimum(x, y), "b": pd.array(np.maximum(x, y), "Int64"), "need": pd.array(need, "Int64")})
+            kept = rows.iloc[-NEIGHBOURS:]
+
+    return tiles(sets, F.xxhash64("vid")).mapInPandas(pair, "tile long, a long, b long, need long")
 
 
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -231,15 +232,14 @@ def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     rows = stage(document_sets(docs, n, percent), "join-documents")
     classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.count("*").alias("n_copies"))
     sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()).withColumn("ratio", F.lit(percent / 100)), "join-classes")
-    shared = stage(leader_pairs(sets, percent), "join-tiles")
+    shared = stage(neighbour_pairs(sets, percent), "join-tiles")
     vids = lambda df: df.select(F.col("a").alias("vid")).unionByName(df.select(F.col("b").alias("vid"))).distinct()
-    sizes = sets.select(F.col("vid").alias("a"), "n")
-    pairs = shared.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("met")).join(sizes, "a").where(f"met >= 1 + floor(n / {STRICT})").select("a", "b")
-    pairs = stage(not_excluded(pairs, sets, percent), "join-leader-pairs")
-    links = stage(verified(pairs, shingle_arrays(docs, sets, vids(pairs), n), percent), "join-leader-links")
+    pairs = shared.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+    pairs = stage(not_excluded(pairs, sets, percent), "join-near-pairs")
+    links = stage(verified(pairs, shingle_arrays(docs, sets, vids(pairs), n), percent), "join-near-links")
     first = connected_components(links)
 
-    members = shared.select("tile", F.coalesce("b", "a").alias("vid")).distinct()
+    members = shared.where("b is null").select("tile", F.col("a").alias("vid")).distinct()
     members = members.join(first.withColumnRenamed("v", "vid"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).drop("root")
     several = members.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
     members = members.join(several, "tile").join(sets.select("vid", "n"), "vid").select("tile", "vid", "n", "comp")
