@@ -14,6 +14,7 @@ Null and empty texts have no sequences. Rows that repeat an id are written each.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,6 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from convoweave.llm.samples import blocks
 from convoweave.shared import stage, staging_path
@@ -35,6 +35,8 @@ SEQUENCE, KEY, ROUNDS = 512, 0x1F2E3D4C5B6A7988, 6
 SHARD_SEQUENCES = 8_192
 STRIDE = 2 * SEQUENCE
 CACHED_PIECES = 200_000
+#: Blanks that do not just precede one word.
+UNEVEN_BLANKS = re.compile(r"^ | (?=\s|$)")
 
 
 def load(path: str):
@@ -60,9 +62,9 @@ class Pieces(dict):
 
 
 def tokenize(text: str, pieces: Pieces) -> bytes:
-    first, *rest = text.split(" ")
-    if "  " in text or text[:1] == " " or text[-1:] == " " or any(x[:1].isspace() for x in rest):
+    if UNEVEN_BLANKS.search(text):
         return np.array(pieces.encoding.encode_ordinary(text), np.uint16).tobytes()
+    first, *rest = text.split(" ")
     return np.array(pieces.encoding.encode_ordinary(first), np.uint16).tobytes() + b"".join(map(pieces.__getitem__, rest))
 
 
@@ -90,44 +92,39 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, part, row, n_tokens, n_sequences, ids (compressed) of every row with tokens."""
+    """doc_id, part, before, n_sequences, ids of every row with tokens; ``before`` counts the part's earlier sequences."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, part, row = Pieces(load(path)), TaskContext.get().partitionId(), 0
+        pieces, part, before = Pieces(load(path)), TaskContext.get().partitionId(), 0
         for b in blocks(batches, 2_000, 2_000_000):
             ids = [tokenize(t, pieces) if t else b"" for t in b["text"]]
-            n = np.array([len(x) // 2 for x in ids])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "part": part, "row": row + np.arange(len(b)), "n_tokens": n, "n_sequences": -(-n // SEQUENCE), "ids": [zlib.compress(x, 1) for x in ids]})
-            row += len(b)
+            n = np.array([-(-len(x) // STRIDE) for x in ids])
+            ends = before + np.cumsum(n)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "part": part, "before": ends - n, "n_sequences": n, "ids": ids})
+            before = ends[-1]
 
-    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, part int, row long, n_tokens long, n_sequences long, ids binary").where("n_tokens > 0")
+    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, part int, before long, n_sequences long, ids binary").where("n_sequences > 0")
 
 
 def materialise(docs: DataFrame, target: str, tokenizer: str = TOKENIZER, key: int = KEY, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
     """Writes the shards to the folder ``target`` (a URI all executors reach) and returns a row for each sequence."""
     table = stage(tokens(docs, tokenizer), "token-ids")
-    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    bases = table.groupBy("part").agg(F.sum("n_sequences").alias("n")).collect()  # one row for each task that tokenised
+    sums = table.groupBy("part").agg(F.sum("n_sequences").alias("n")).collect()  # one row for each task that tokenised
     base, n = {}, 0
-    for r in sorted(bases, key=lambda r: r["part"]):
+    for r in sorted(sums, key=lambda r: r["part"]):
         base[r["part"]], n = n, n + r["n"]
-    spark = docs.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(list(base.items()), "part int, base long"))
-    # Small rows are numbered; the ids join them again where they lie, one task for each file of the staged table.
-    first = table.select("part", "row", "n_sequences").withColumn("before", F.coalesce(F.sum("n_sequences").over(inside), F.lit(0))).join(offsets, "part")
-    numbered = table.join(first.select("part", "row", (F.col("base") + F.col("before")).alias("first")), ["part", "row"])
+    bases = docs.sparkSession.sparkContext.broadcast(base)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 500):
                 out = []
-                for doc, ids, k in zip(b["doc_id"][i : i + 500], b["ids"][i : i + 500], b["first"][i : i + 500], strict=True):
-                    x = zlib.decompress(ids)
-                    out += [(doc, k + j, x[j * STRIDE : (j + 1) * STRIDE]) for j in range(-(-len(x) // STRIDE))]
+                for doc, part, before, x in zip(*(b[c][i : i + 500] for c in ("doc_id", "part", "before", "ids")), strict=True):
+                    first = bases.value[part] + before
+                    out += [(doc, first + j, x[j * STRIDE : (j + 1) * STRIDE]) for j in range(-(-len(x) // STRIDE))]
                 f = pd.DataFrame(out, columns=["doc_id", "index", "ids"])
                 f["doc_id"] = f["doc_id"].astype("Int64")
-                f["slot"] = feistel(f["index"].to_numpy(np.int64), n, key) if len(f) else f["index"]
-                f["ids"] = [zlib.compress(x, 1) for x in f["ids"]]
+                f["slot"] = feistel(f["index"].to_numpy(np.int64), n, key)
                 yield f
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,14 +141,13 @@ def materialise(docs: DataFrame, target: str, tokenizer: str = TOKENIZER, key: i
         for b in batches:
             pad = np.uint16(PAD).tobytes()
             done = []
-            for doc, index, slot, ids in zip(b["doc_id"], b["index"], b["slot"], b["ids"], strict=True):
+            for doc, index, slot, x in zip(b["doc_id"], b["index"], b["slot"], b["ids"], strict=True):
                 shard = slot // shard_sequences
                 if shard != current:
                     finish()
                     current, partial = shard, f"{folder}/.shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
                     system.create_dir(folder, recursive=True)
                     out = system.open_output_stream(partial)
-                x = zlib.decompress(ids)
                 out.write(x + pad * ((STRIDE - len(x)) // 2))
                 done.append((doc, index, slot, shard, slot % shard_sequences * STRIDE, len(x) // 2, zlib.crc32(x)))
             f = pd.DataFrame(done, columns=["doc_id", "sequence", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32"])
@@ -160,7 +156,7 @@ def materialise(docs: DataFrame, target: str, tokenizer: str = TOKENIZER, key: i
         finish()
 
     shards = max(1, -(-n // shard_sequences))
-    placed = numbered.select("doc_id", "first", "ids").mapInPandas(cut, "doc_id long, index long, ids binary, slot long")
+    placed = table.mapInPandas(cut, "doc_id long, index long, ids binary, slot long")
     dealt = placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences)).repartition(shards, "shard").sortWithinPartitions("slot").drop("shard")
     written = dealt.mapInPandas(write, "doc_id long, sequence long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long")
     return stage(written, "shard-manifest")
