@@ -14,7 +14,6 @@ Null and empty texts have no sequences. Rows that repeat an id are written each.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,37 +34,51 @@ SEQUENCE, KEY, ROUNDS = 512, 0x1F2E3D4C5B6A7988, 6
 SHARD_SEQUENCES = 8_192
 STRIDE = 2 * SEQUENCE
 CACHED_PIECES = 200_000
-#: Blanks that do not just precede one word.
-UNEVEN_BLANKS = re.compile(r"^ | (?=\s|$)")
 
 
-def load(path: str):
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+class UnevenBlanks(Exception):
+    """A blank that does not just precede one word."""
 
 
 class Pieces(dict):
-    """' word' -> its ids as bytes. A single blank before a non-blank always starts a new piece, so pieces are independent."""
+    """' word' -> its ids as bytes. A single blank before a non-blank always starts a new piece, so pieces are independent.
+
+    Two generations of ``CACHED_PIECES`` are kept: rare words leave, frequent ones come back from the older one.
+    """
 
     def __init__(self, encoding):
         super().__init__()
         self.encoding = encoding
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace():
+            raise UnevenBlanks
         if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
             self.clear()
-        out = self[piece] = np.array(self.encoding.encode_ordinary(" " + piece), np.uint16).tobytes()
+        out = self.older.get(piece)
+        out = self[piece] = self.ids(" " + piece) if out is None else out
         return out
 
 
+def load(path: str) -> Pieces:
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return Pieces(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
+
+
 def tokenize(text: str, pieces: Pieces) -> bytes:
-    if UNEVEN_BLANKS.search(text):
-        return np.array(pieces.encoding.encode_ordinary(text), np.uint16).tobytes()
     first, *rest = text.split(" ")
-    return np.array(pieces.encoding.encode_ordinary(first), np.uint16).tobytes() + b"".join(map(pieces.__getitem__, rest))
+    try:
+        return pieces.ids(first) + b"".join(map(pieces.__getitem__, rest))
+    except UnevenBlanks:
+        return pieces.ids(text)
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np.ndarray:
@@ -95,7 +108,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, part, before, n_sequences, ids of every row with tokens; ``before`` counts the part's earlier sequences."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, part, before = Pieces(load(path)), TaskContext.get().partitionId(), 0
+        pieces, part, before = load(path), TaskContext.get().partitionId(), 0
         for b in blocks(batches, 2_000, 2_000_000):
             ids = [tokenize(t, pieces) if t else b"" for t in b["text"]]
             n = np.array([-(-len(x) // STRIDE) for x in ids])

@@ -221,7 +221,7 @@ def test_training_order(spark, docs, texts, tmp_path):
     target = f"file://{tmp_path}/shards"
     rows = training_order.materialise(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), target, shard_sequences=4).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    encoding, pieces = training_order.load(training_order.TOKENIZER), {}
+    encoding, pieces = training_order.load(training_order.TOKENIZER).encoding, {}
     for r in sorted(rows, key=lambda r: r["sequence"]):
         with open(f"{tmp_path}/shards/shard-{r['shard']:06d}.bin", "rb") as f:
             f.seek(r["byte_offset"])
@@ -230,6 +230,8 @@ def test_training_order(spark, docs, texts, tmp_path):
         assert (x[r["n_tokens"] :] == training_order.PAD).all()
     for k, t in enumerate(texts):
         assert pieces.get(k, []) == (encoding.encode_ordinary(t) if t else [])
+    for t in (" a", "a ", "a  b", "a \n b", "a\nb c", " ", "a \u00a0b", "it's 12 o'clock", "\u00e9t\u00e9 \U0001f600 x"):
+        assert training_order.tokenize(t, training_order.load(training_order.TOKENIZER)) == np.array(encoding.encode_ordinary(t), np.uint16).tobytes()
     for n in (1, 2, 5, 1000):
         slots = training_order.feistel(np.arange(n), n)
         assert sorted(slots) == list(range(n)) and (training_order.feistel(slots, n, inverse=True) == np.arange(n)).all()
