@@ -14,10 +14,11 @@ first, however many copies there are, and the join runs between classes:
    Random pairs of a large group of near copies make it one component, in a number of pairs that grows with its
    members alone, even if only one pair in ten links. This step may miss links, it only saves work.
 3. Tiles that still hold several components are searched fully: unconnected sets within the size ratio of each other
-   are counted over the tiles, and must meet ``depth`` times. Then bitmaps of hashed shingles (2 to 4 bits a shingle)
-   are compared: bits that one has and the other lacks are distinct missing shingles, so their counts bound the
-   overlap from above. What is left is verified by exact intersection of the shingle arrays. No link escapes the two
-   bounds and the check, so the components are those of all links.
+   are held against each other by bitmaps of hashed shingles: bits that one has and the other lacks are distinct
+   missing shingles, so their counts bound the overlap from above. Bitmaps of a fixed size travel with the tiles'
+   members; pairs that pass are counted over the tiles, must meet ``depth`` times, and are compared by larger bitmaps
+   (2 to 4 bits a shingle). What is left is verified by exact intersection of the shingle arrays. No link escapes
+   the bounds and the check, so the components are those of all links.
 
 Rows: (doc_id, n_shingles, component_id); component_id is the least doc_id reachable. Null and empty texts link with
 nothing and keep their own id. Rows that repeat an id are rows of their own with that id. Extra columns are ignored.
@@ -41,6 +42,8 @@ from convoweave.shared import stage
 SHINGLE, PERCENT = 3, 90
 STRICT = 50
 NEIGHBOURS = 32
+#: Bits of the small bitmap that travels with the members of a tile.
+SKETCH = 1024
 BLOCK_CHARS = 1_500_000
 #: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
 COUNTED, OFTEN, FREQUENT = 4_000_000, 5, 50_000
@@ -72,7 +75,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n, set_id (16 bytes), prefix, bitmap of every row."""
+    """doc_id, n, set_id (16 bytes), prefix, bitmap, sketch (a bitmap of ``SKETCH`` bits) of every row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,6 +94,9 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             bits = np.zeros(offsets[-1], np.uint8)
             at = (h & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
             np.bitwise_or.at(bits, offsets[doc] + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+            sketch = np.zeros((len(texts), SKETCH // 8), np.uint8)
+            at = (h & np.uint64(SKETCH - 1)).astype(np.int64)
+            np.bitwise_or.at(sketch, (doc, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
             where = np.searchsorted(hot, h)
             where[where == len(hot)] = 0
             weight = np.where(hot[where] == h, rank[where], 0) if len(hot) else np.zeros(len(h), np.int64)
@@ -102,9 +108,10 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "n": sizes, "set_id": [x.tobytes() for x in ids],
                 "prefix": np.split(prefix, cuts) if len(texts) else [], "bitmap": [bits[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)],
+                "sketch": [x.tobytes() for x in sketch],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n long, set_id binary, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n long, set_id binary, prefix array<long>, bitmap binary, sketch binary")
 
 
 def tiles(sets: DataFrame, order: Column) -> DataFrame:
@@ -146,7 +153,10 @@ def neighbour_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Unconnected sets that meet often enough. ``members``: tile, vid, n, comp. A tile is held whole, 32 bytes a row."""
+    """Unconnected sets that meet often enough and whose sketches allow the threshold.
+
+    ``members``: tile, vid, n, comp, sketch. A tile is held whole, 160 bytes a row.
+    """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -161,12 +171,16 @@ def open_pairs(members: DataFrame, percent: int) -> DataFrame:
             else:
                 rows = rest
             t, v, n, comp = (rows[c].to_numpy() for c in ("tile", "vid", "n", "comp"))
+            bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(t), SKETCH // 64)
             later, shift = np.arange(len(t)), 0
             while len(later):
                 shift += 1
                 later = later[later >= shift]
                 later = later[(t[later] == t[later - shift]) & (100 * n[later - shift] >= percent * n[later])]
                 pick = later[comp[later] != comp[later - shift]]
+                p, q = bits[pick - shift], bits[pick]
+                most = np.minimum(n[pick - shift] - np.bitwise_count(p & ~q).sum(1), n[pick] - np.bitwise_count(q & ~p).sum(1))
+                pick = pick[100 * most >= percent * (n[pick - shift] + n[pick] - most)]
                 if len(pick):
                     x, y = v[pick - shift], v[pick]
                     yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "need": 1 + n[pick - shift] // STRICT})
@@ -230,7 +244,7 @@ def shingle_arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int)
 def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows with an equal set) of every row."""
     rows = stage(document_sets(docs, n, percent), "join-documents")
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.count("*").alias("n_copies"))
+    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"))
     sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()).withColumn("ratio", F.lit(percent / 100)), "join-classes")
     shared = stage(neighbour_pairs(sets, percent), "join-tiles")
     vids = lambda df: df.select(F.col("a").alias("vid")).unionByName(df.select(F.col("b").alias("vid"))).distinct()
@@ -242,7 +256,7 @@ def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     members = shared.where("b is null").select("tile", F.col("a").alias("vid")).distinct()
     members = members.join(first.withColumnRenamed("v", "vid"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).drop("root")
     several = members.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-    members = members.join(several, "tile").join(sets.select("vid", "n"), "vid").select("tile", "vid", "n", "comp")
+    members = members.join(several, "tile").join(sets.select("vid", "n", "sketch"), "vid").select("tile", "vid", "n", "comp", "sketch")
     rest = stage(not_excluded(open_pairs(members, percent), sets, percent), "join-open-pairs")
     more = stage(verified(rest, shingle_arrays(docs, sets, vids(rest), n), percent), "join-open-links")
     comps = connected_components(links.unionByName(more)) if more.head(1) else first
