@@ -44,9 +44,9 @@ STRICT = 50
 NEIGHBOURS = 32
 #: Bits of the small bitmap that travels with the members of a tile.
 SKETCH = 1024
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 400_000
 #: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
-COUNTED, OFTEN, FREQUENT = 4_000_000, 5, 50_000
+COUNTED, OFTEN, FREQUENT = 2_000_000, 5, 50_000
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:

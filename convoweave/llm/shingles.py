@@ -13,11 +13,11 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; the last size asked for is kept."""
-    if n not in _powers:
+    """Powers of the base and of its inverse, ``n`` or more; the longest asked for are kept."""
+    if n > max(_powers, default=0):
         _powers.clear()
         _powers[n] = np.cumprod(np.full(n, BASE, np.uint64)), np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
-    return _powers[n]
+    return next(iter(_powers.values()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
