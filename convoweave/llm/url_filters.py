@@ -7,7 +7,7 @@ and an empty path; no rule fits it and it is allowed.
 A host/path rule fits its host and every subdomain if the url's path starts with the rule's path; the
 longest rule (host and path together) wins, equal lengths by code point order. A url without such a rule
 is judged by the pattern rules: a regular expression over the lower-cased url plus the literal tokens
-(runs of a-z and 0-9) that any match must contain. Every pattern is indexed by whichever of its tokens
+(whole runs of a-z and 0-9) that any match must contain; rules may share a name. Every pattern is indexed by whichever of its tokens
 is rarest in the urls at hand, so a url's tokens fetch its few candidate patterns and only those run.
 Repeated rows give repeated results; extra columns of the input are ignored.
 """
@@ -51,7 +51,8 @@ PATTERN_RULES = (
     PatternRule("link farms", r"://[^/?#]*\bspam-farm\b", ("spam", "farm")),
     PatternRule("casinos", r"://[^/?#]*\b(?:online|best|free)-casino\b", ("casino",)),
     PatternRule("adult hosts", r"://[^/?#]*\badult-(?:video|chat|dating)\b", ("adult",)),
-    PatternRule("redirectors", r"[?&](?:goto|redirect)=https?", ("https",)),
+    PatternRule("redirectors", r"[?&]goto=https?", ("goto",)),
+    PatternRule("redirectors", r"[?&]redirect=https?", ("redirect",)),
     PatternRule("feed copies", r"[?&]utm_source=feed\b", ("utm", "source", "feed")),
     PatternRule("session ids", r"[?&](?:phpsessid|jsessionid)=[0-9a-z]+", ()),
 )

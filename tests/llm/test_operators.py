@@ -164,6 +164,18 @@ def test_url_filters(spark):
     assert got == {k: v[1:] for k, v in urls.items()}
 
 
+def test_url_patterns_equal_a_full_scan(spark):
+    hosts = ["a.net", "cheap-pills.net", "x.cheap-pills.org", "cheap-pillsx.org", "spam-farm.net", "best-casino.org", "free-casinos.org", "adult-chat.net", "adults-chat.net"]
+    tails = ["", "/", "/x?goto=http", "/?redirect=http://b.org/x", "/?a=1&goto=https://b.org", "/?redirect=httpsfoo", "/?xgoto=http://b", "/?GOTO=HTTP://b", "/?redirect=ftp://b", "?utm_source=feed", "?utm_source=feeds", "?phpsessid=1a"]
+    urls = [f"{scheme}://{h}{t}" for scheme in ("http", "https") for h in hosts for t in tails]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [(r.name, r.regex) for r in url_filters.PATTERN_RULES]
+    want = {k: min((name for name, regex in rules if re.search(regex, u.lower())), default=None) for k, u in enumerate(urls)}
+    got = {r["page_id"]: r["pattern"] for r in url_filters.filter_urls(df, ()).collect()}
+    assert got == want
+    assert got[urls.index("http://a.net/?redirect=http://b.org/x")] == "redirectors"
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(77, 30)
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, prose(78, 25))], "item_id long, text string")
