@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -60,6 +61,21 @@ def test_quality_rules(docs, empty, texts):
     assert quality_rules.judge(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [2_000, 10])
+def test_quality_rules_have_a_reference_for_every_language(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", broadcast, raising=False)
+    rows = []
+    for k in range(75):  # the rarer languages are written in other scripts
+        t = prose(5000 + k, 60) if k < 66 else " ".join(chr(0x400 + 40 * (k - 66) + x % 40) * (1 + x // 40) for x in range(90))
+        rows += [(10 * k + j, t + f" w{j}", f"l{k:02d}" if k < 74 else None) for j in range(3 if k < 64 else 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = quality_rules.query(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(quality_rules.SQL).fetchall())
+    assert got.where("kept").count() == len(rows)
+
+
 def expected_components(texts, n=3, percent=90):
     sets = []
     for t in texts:
