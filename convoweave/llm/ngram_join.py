@@ -21,7 +21,8 @@ first, however many copies there are, and the join runs between classes:
    the bounds and the check, so the components are those of all links.
 
 Rows: (doc_id, n_shingles, component_id); component_id is the least doc_id reachable. Null and empty texts link with
-nothing and keep their own id. Rows that repeat an id are rows of their own with that id. Extra columns are ignored.
+nothing and keep their own id. Rows that repeat an id, or have none, are rows of their own: inside the module a row is
+known by a hash of its id and text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from convoweave.llm.samples import blocks
 from convoweave.llm.shingles import distinct_sorted, mix, shingle_hashes
+from convoweave.llm.text import WORD, row_key
 from convoweave.operators.components import connected_components
 from convoweave.shared import stage
 
@@ -75,7 +77,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n, set_id (16 bytes), prefix, bitmap, sketch (a bitmap of ``SKETCH`` bits) of every row."""
+    """doc_id, key, n, set_id (16 bytes), prefix, bitmap, sketch (a bitmap of ``SKETCH`` bits) of every row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,12 +108,12 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             prefix = h[order][taken].view(np.int64)
             cuts = np.cumsum(np.bincount(doc[taken], minlength=len(texts)))[:-1]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "n": sizes, "set_id": [x.tobytes() for x in ids],
+                "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "key": b["key"].to_numpy(), "n": sizes, "set_id": [x.tobytes() for x in ids],
                 "prefix": np.split(prefix, cuts) if len(texts) else [], "bitmap": [bits[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)],
                 "sketch": [x.tobytes() for x in sketch],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n long, set_id binary, prefix array<long>, bitmap binary, sketch binary")
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInPandas(sets, "doc_id long, key long, n long, set_id binary, prefix array<long>, bitmap binary, sketch binary")
 
 
 def tiles(sets: DataFrame, order: Column) -> DataFrame:
@@ -224,8 +226,8 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 def shingle_arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(vid, shingles) of the wanted classes, computed again from one document of each."""
-    chosen = sets.join(wanted, "vid").select("vid", F.col("doc").alias("id"), "set_id")
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("vid", "text", "set_id")
+    chosen = sets.join(wanted, "vid").select("vid", F.col("doc.key").alias("key"), "set_id")
+    texts = docs.select("text", row_key().alias("key")).join(chosen, "key").select("vid", "text", "set_id")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in blocks(batches, 2_000, BLOCK_CHARS):
@@ -234,17 +236,18 @@ def shingle_arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int)
             sums = np.r_[np.uint64(0), np.cumsum(mix(h + np.uint64(1)))]
             ends = np.r_[cuts, len(h)]
             first = sums[ends] - sums[np.r_[0, cuts]]
-            own = np.array([int.from_bytes(x[:8], "little") for x in b["set_id"]], np.uint64) == first  # rows that repeat an id may have another text
+            own = np.array([int.from_bytes(x[:8], "little") for x in b["set_id"]], np.uint64) == first  # keys are hashes
             parts = np.split(h.view(np.int64), cuts)
             yield pd.DataFrame({"vid": b["vid"].to_numpy()[own], "shingles": [p for p, o in zip(parts, own, strict=True) if o]})
 
     return texts.mapInPandas(again, "vid long, shingles array<long>").dropDuplicates(["vid"])
 
 
-def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (rows with an equal set) of every row."""
+def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """row, n_shingles, component (its least row), n_copies of every row; a row is (no_id, doc_id, key), so null ids come last."""
     rows = stage(document_sets(docs, n, percent), "join-documents")
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min(row).alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"))
     sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()).withColumn("ratio", F.lit(percent / 100)), "join-classes")
     shared = stage(neighbour_pairs(sets, percent), "join-tiles")
     vids = lambda df: df.select(F.col("a").alias("vid")).unionByName(df.select(F.col("b").alias("vid"))).distinct()
@@ -264,15 +267,25 @@ def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     of_set = sets.join(comps.withColumnRenamed("v", "vid"), "vid", "left").select("set_id", "doc", "n_copies", F.coalesce("root", "vid").alias("comp"))
     least = of_set.groupBy("comp").agg(F.min("doc").alias("component"))
     named = of_set.join(least, "comp").select("set_id", "component", "n_copies")
-    linked = rows.where("n > 0").select("doc_id", "n", "set_id").join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_copies")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("n_copies")))
+    linked = rows.where("n > 0").select(row.alias("row"), F.col("n").alias("n_shingles"), "set_id").join(named, "set_id").select("row", "n_shingles", "component", "n_copies")
+    return linked.unionByName(rows.where("n = 0").select(row.alias("row"), F.col("n").alias("n_shingles"), row.alias("component"), F.lit(1).cast("bigint").alias("n_copies")))
+
+
+def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies (rows with an equal set) of every row."""
+    return row_components(docs, n, percent).select(F.col("row.doc_id").alias("doc_id"), "n_shingles", F.col("component.doc_id").alias("component_id"), "n_copies")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that are not the least id of their component; of repeated rows of that id one stays."""
-    groups = join_components(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == groups["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each component: that of the least id, of a null id only if there is no other.
+
+    Rows are told apart by id and text, so rows that repeat an id, or have none, stay unless they are copies. Rows
+    without words are copies of nothing and all stay.
+    """
+    least = row_components(docs, n, percent).where("n_shingles > 0 and row.key = component.key").select(F.col("row.key").alias("_key")).distinct()
+    has_words = F.coalesce("text", F.lit("")).rlike(WORD)
+    kept = docs.where(has_words).withColumn("_key", row_key()).dropDuplicates(["_key"]).join(least, "_key", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def row_key() -> Column:
+    """64-bit key of a row by id and text, null ids included: rows that share it are copies and get one verdict."""
+    return F.xxhash64("doc_id", "text")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``, also from inside nested lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
