@@ -8,8 +8,8 @@ miss the whole sketch, so testing the sketch's hashes for membership in the docu
 however long the document. Each candidate is then verified on the shingles themselves.
 
 Items with fewer than ``SHINGLE`` words (null and empty texts too) are not searched; documents with fewer contain
-nothing. Rows repeating an id are searched each, and the fullest one is reported. Documents with a null id are
-searched as well. Extra columns are ignored.
+nothing. Rows repeating an id are searched each, and the fullest one is reported; rows with a null id as well. Inside
+the module a row is known by a hash of its id and text, and removed by it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoweave.llm.text import let, window_hashes
+from convoweave.llm.text import let, row_key, window_hashes
 from convoweave.shared import stage
 
 SHINGLE = 5
@@ -53,25 +53,32 @@ def sketch_index(items: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -
     return sets.select("item_key", F.explode(F.slice("hashes", F.lit(1), depth)).alias("h"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, item_id, n_item_shingles, n_shared, containment of every pair at or above the threshold."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """key (of the row), doc_id, item_id, n_item_shingles, n_shared, containment of every pair at or above the threshold."""
     items = stage(benchmark.select("item_id", "text").distinct().withColumn("item_key", F.xxhash64("item_id", "text")), "benchmark-items")
     index = stage(sketch_index(items, threshold_percent), "benchmark-sketches")
     small = index.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
-    hashed = docs.select("doc_id", normal_words(F.col("text")).alias("w")).select(
-        "doc_id", F.explode(window_hashes(F.col("w"), SHINGLE)).alias("h")
+    hashed = docs.select(row_key().alias("key"), normal_words(F.col("text")).alias("w")).select(
+        "key", F.explode(window_hashes(F.col("w"), SHINGLE)).alias("h")
     )
-    pairs = stage(hashed.join(hint(index), "h").select("doc_id", "item_key").distinct(), "benchmark-candidates")
+    pairs = stage(hashed.join(hint(index), "h").select("key", "item_key").distinct(), "benchmark-candidates")
     item_sets = items.select("item_id", "item_key", shingles(normal_words(F.col("text"))).alias("item_set"))
-    wanted = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("item_key").alias("keys"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = texts.select("doc_id", shingles(normal_words(F.col("text"))).alias("doc_set"), F.explode("keys").alias("item_key"))
+    wanted = pairs.groupBy("key").agg(F.collect_list("item_key").alias("keys"))
+    texts = docs.select("doc_id", "text", row_key().alias("key")).join(wanted, "key")
+    sets = texts.select("key", "doc_id", shingles(normal_words(F.col("text"))).alias("doc_set"), F.explode("keys").alias("item_key"))
     return (
         sets.join(hint(item_sets), "item_key")
-        .select("doc_id", "item_id", F.size("item_set").cast("bigint").alias("n_item_shingles"), F.size(F.array_intersect("doc_set", "item_set")).cast("bigint").alias("n_shared"))
+        .select("key", "doc_id", "item_id", F.size("item_set").cast("bigint").alias("n_item_shingles"), F.size(F.array_intersect("doc_set", "item_set")).cast("bigint").alias("n_shared"))
         .where(100 * F.col("n_shared") >= threshold_percent * F.col("n_item_shingles"))
         .withColumn("containment", F.round(F.col("n_shared") / F.col("n_item_shingles"), 6))
+    )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """doc_id, item_id, n_item_shingles, n_shared, containment of every pair at or above the threshold."""
+    return (
+        contaminated_rows(docs, benchmark, threshold_percent)
         .groupBy("doc_id", "item_id")
         .agg(F.max_by(F.struct("n_item_shingles", "n_shared", "containment"), "containment").alias("x"))
         .select("doc_id", "item_id", "x.*")
@@ -79,9 +86,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold_percent: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without those that contain a benchmark item; a row whose id is null goes if any such row holds one."""
-    bad = contamination(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    """Rows without those that contain a benchmark item; others that share an id with one, or have none, stay."""
+    bad = contaminated_rows(docs, benchmark).select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
