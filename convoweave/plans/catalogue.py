@@ -172,6 +172,11 @@ SELECT doc_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS filename FROM y"""
     lambda s, d: table(s, d, "documents").select("doc_id", R.sanitize_filename(F.concat(F.left("text", F.lit(260)), F.lit("?."))).alias("filename")))
 query("escape_yaml", r"""SELECT doc_id, replace(replace(replace(replace('a\"b' || left(text, 120) || chr(13), '\', '\\'), '"', '\"'), chr(10), ' '), chr(13), '') AS yaml FROM documents""")(
     lambda s, d: table(s, d, "documents").select("doc_id", R.escape_yaml(F.concat(F.lit('a\\"b'), F.left("text", F.lit(120)), F.lit("\r"))).alias("yaml")))
+# The whole texts, without twins.
+query("clean_title_whole", None)(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", C.clean_title(F.col("text")).alias("title")))
+query("sanitize_filename_whole", None)(lambda s, d: table(s, d, "documents").select("doc_id", R.sanitize_filename(F.col("text")).alias("filename")))
+query("escape_yaml_whole", None)(lambda s, d: table(s, d, "documents").select("doc_id", R.escape_yaml(F.col("text")).alias("yaml")))
 query("callout_render", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN '> [!question]+ Human' ELSE '> [!info]+ Assistant' END || chr(10) ||
 array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), chr(10)) AS block FROM conversations""")(
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", R.callout(C.normalize_role(F.col("role")), F.col("text")).alias("block")))
