@@ -257,6 +257,7 @@ for _k in range(1, _ROUNDS + 1):
     _rank_sql += f", l{_k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{_k - 1} LEFT JOIN tot ON src = id WHERE t IS NULL), g{_k} AS (SELECT dst, sum(rank * share) AS got FROM r{_k - 1} JOIN lk ON src = id GROUP BY dst), r{_k} AS (SELECT r.id, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM r{_k - 1} r LEFT JOIN g{_k} ON dst = id, l{_k}, nn)"
 query("pagerank_k5", f"{_rank_sql} SELECT id, round(rank, 6) AS rank FROM r{_ROUNDS}")(
     lambda s, d: G.pagerank(conv(s, d).select(F.col("conv_id").alias("id")), edges(s, d), _ROUNDS, tolerance=None).select("id", F.round("rank", 6).alias("rank")))
+query("pagerank", None)(lambda s, d: G.pagerank(conv(s, d).select(F.col("conv_id").alias("id")), edges(s, d)))
 query("connected_components", f"""WITH RECURSIVE {CONV}, {TAGS}, {SHARED}, e AS (SELECT src AS a, dst AS b FROM weighted WHERE shared >= 2 UNION SELECT dst, src FROM weighted WHERE shared >= 2),
 reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS v, min(b) AS root FROM reach GROUP BY a""")(
     lambda s, d: connected_components(shared_concepts(s, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))))
