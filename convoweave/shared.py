@@ -1,7 +1,7 @@
 """Tables written to the folder that the driver and all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(tests, single machines) a folder below the system's temporary one is taken.
+The folder is the session's ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. Only where both are unset
+and everything runs on one machine (a local master, as in tests) a folder below the system's temporary one is taken.
 A staged table cuts the lineage and survives the loss of any executor.
 """
 
@@ -13,14 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULT = "file:///tmp/checkpoints/convoweave"
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; also makes ``checkpoint()`` usable."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DEFAULT
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL_DEFAULT
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -28,7 +33,7 @@ def staging_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/convoweave-{name}-{uuid.uuid4().hex}"
     if not _staged:
         atexit.register(_remove_staged)
-    _staged.append((spark, path))
+    _staged[path] = spark
     return path
 
 
@@ -37,14 +42,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``stage`` returned; whatever was made from it must be staged itself by now."""
+    path = df.staged_at
+    _remove(_staged.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove_staged() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session is already gone: the cluster's own cleaning takes over
             return
