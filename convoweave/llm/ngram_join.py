@@ -9,46 +9,49 @@ first, however many copies there are, and the join runs between classes:
    ``depth = 1 + |smaller| // STRICT``. The order used puts shingles that are frequent anywhere in the corpus last.
    A tile is one such shingle within one band of sizes (a power of two; sets that may have a partner in the band
    below are in that tile too).
-2. In every tile, in the order of a hash of the sets' numbers (the same order in all tiles), each set is paired with
-   the ``NEIGHBOURS`` that follow. Pairs of fitting sizes that meet often enough are verified exactly and connected.
-   Random pairs of a large group of near copies make it one component, in a number of pairs that grows with its
-   members alone, even if only one pair in ten links. This step may miss links, it only saves work.
-3. Tiles that still hold several components are searched fully: unconnected sets within the size ratio of each other
-   are held against each other by bitmaps of hashed shingles: bits that one has and the other lacks are distinct
-   missing shingles, so their counts bound the overlap from above. Bitmaps of a fixed size travel with the tiles'
-   members; pairs that pass are counted over the tiles, must meet ``depth`` times, and are compared by larger bitmaps
-   (2 to 4 bits a shingle). What is left is verified by exact intersection of the shingle arrays. No link escapes
-   the bounds and the check, so the components are those of all links.
-
-Rows: (doc_id, n_shingles, component_id); component_id is the least doc_id reachable. Null and empty texts link with
-nothing and keep their own id. Rows that repeat an id, or have none, are rows of their own: inside the module a row is
-known by a hash of its id and text. Extra columns are ignored.
+2. A tile is owned by the class that comes first in it in the order of a hash of the classes' numbers (the same order in
+   all tiles). Tiles with nearly the same members mostly have the same owner, so the many tiles that two near copies
+   share become one or two groups, without a row for any pair. Classes that are not in ``depth`` shared tiles leave.
+3. The members of a group, one row each with its shingles, meet in a task. A group of over ``BLOCK_SHINGLES`` shingles is
+   dealt to blocks by a hash, and each pair of blocks is a task of its own, so a task's memory is bounded. Inside, bitmaps
+   of hashed shingles are held against each other: bits that one has and the other lacks are distinct missing
+   shingles, so their counts bound the overlap from above. Pairs that pass are verified by exact intersection of the
+   sorted shingle arrays. Where two classes meet in several groups, only the least of these decides on the pair.
+4. A task tells the links of each member, and a forest of edges that connects what its links connect: never more rows
+   than it got. No link escapes the bounds and the check, so components and numbers of links are those of all links.
+
+Rows: (doc_id, n_shingles, component_id, n_copies, n_links); component_id is the least doc_id reachable, n_copies the rows
+with an equal set, n_links the other rows that the row links with. Null and empty texts link with nothing and keep their
+own id. Rows that repeat an id, or have none, are rows of their own: inside the module a row is known by its id and a
+hash of id and text. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoweave.llm.samples import blocks
 from convoweave.llm.shingles import distinct_sorted, mix, shingle_hashes
-from convoweave.llm.text import WORD, row_key
+from convoweave.llm.text import WORD, free_names, row_key
 from convoweave.operators.components import connected_components
-from convoweave.shared import stage
+from convoweave.shared import discard, stage
 
 SHINGLE, PERCENT = 3, 90
 STRICT = 50
-NEIGHBOURS = 32
-#: Bits of the small bitmap that travels with the members of a tile.
-SKETCH = 1024
 BLOCK_CHARS = 400_000
+#: Shingles of a block of a group; a task holds two blocks, 8 bytes a shingle.
+BLOCK_SHINGLES = 2_000_000
+#: Shingles that are looked up at once.
+LOOKED_UP = 1_000_000
 #: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
 COUNTED, OFTEN, FREQUENT = 2_000_000, 5, 50_000
+#: Small tables (under 100 bytes a row) are broadcast up to this many rows, else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, key, n, set_id (16 bytes), prefix, bitmap, sketch (a bitmap of ``SKETCH`` bits) of every row."""
+    """doc_id, key, n, set_id (16 bytes), prefix of every row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,14 +94,6 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for k, salt in enumerate((1, 0x5851F42D4C957F2D)):
                 sums = np.r_[np.uint64(0), np.cumsum(mix(h * np.uint64(salt) + np.uint64(salt)))]
                 ids[:, k] = sums[starts + sizes] - sums[starts]
-            width = np.int64(8) << np.maximum(0, np.frexp(np.maximum(sizes, 1))[1].astype(np.int64) - 2)
-            offsets = np.r_[0, np.cumsum(width // 8)]
-            bits = np.zeros(offsets[-1], np.uint8)
-            at = (h & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
-            np.bitwise_or.at(bits, offsets[doc] + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
-            sketch = np.zeros((len(texts), SKETCH // 8), np.uint8)
-            at = (h & np.uint64(SKETCH - 1)).astype(np.int64)
-            np.bitwise_or.at(sketch, (doc, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
             where = np.searchsorted(hot, h)
             where[where == len(hot)] = 0
             weight = np.where(hot[where] == h, rank[where], 0) if len(hot) else np.zeros(len(h), np.int64)
@@ -109,184 +104,211 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             cuts = np.cumsum(np.bincount(doc[taken], minlength=len(texts)))[:-1]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "key": b["key"].to_numpy(), "n": sizes, "set_id": [x.tobytes() for x in ids],
-                "prefix": np.split(prefix, cuts) if len(texts) else [], "bitmap": [bits[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)],
-                "sketch": [x.tobytes() for x in sketch],
+                "prefix": np.split(prefix, cuts) if len(texts) else [],
             })
 
-    return docs.select("doc_id", "text", row_key().alias("key")).mapInPandas(sets, "doc_id long, key long, n long, set_id binary, prefix array<long>, bitmap binary, sketch binary")
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInPandas(sets, "doc_id long, key long, n long, set_id binary, prefix array<long>")
 
 
-def tiles(sets: DataFrame, order: Column) -> DataFrame:
-    """(tile, vid, n) sorted by tile and ``order`` inside partitions; a tile's rows are in one partition."""
-    band = F.floor(F.log2("n")).cast("int")
-    bands = F.when(F.col("n") * F.col("ratio") < F.pow(F.lit(2), band), F.array(band, band - 1)).otherwise(F.array(band))
-    keys = sets.select("vid", "n", F.explode("prefix").alias("key"), bands.alias("bands"))
-    rows = keys.select("vid", "n", "key", F.explode("bands").alias("band")).select("vid", "n", F.xxhash64("key", "band").alias("tile"))
-    return rows.repartition("tile").sortWithinPartitions("tile", order, "vid")
+def group_members(sets: DataFrame, percent: int) -> DataFrame:
+    """owner, vid, met (tiles of that owner that the class shares with others)."""
 
-
-def neighbour_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Members of shared tiles as (tile, a, null, null), and pairs (null, a, b, need) of members at most ``NEIGHBOURS`` apart."""
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None  # the last rows of the batch before
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, owner, first = None, None, False  # of the row before; first: it begins its tile
         for batch in batches:
             if not len(batch):
                 continue
-            rows, old = (batch, 0) if kept is None else (pd.concat([kept, batch], ignore_index=True), len(kept))
-            t, v, n = (rows[c].to_numpy() for c in ("tile", "vid", "n"))
-            at = np.arange(max(old, 1), len(t))
-            later = at[t[at] == t[at - 1]]
-            begins = later[(later == 1) | (t[later - 2] != t[later - 1])] - 1
-            told = np.r_[later, begins]
-            yield pd.DataFrame({"tile": pd.array(t[told], "Int64"), "a": v[told], "b": pd.array([None] * len(told), "Int64"), "need": pd.array([None] * len(told), "Int64")})
-            for shift in range(1, NEIGHBOURS + 1):
-                later = later[later >= shift]
-                later = later[t[later] == t[later - shift]]
-                if not len(later):
-                    break
-                small, large = np.minimum(n[later], n[later - shift]), np.maximum(n[later], n[later - shift])
-                pick, need = later[100 * small >= percent * large], 1 + small[100 * small >= percent * large] // STRICT
-                x, y = v[pick - shift], v[pick]
-                yield pd.DataFrame({"tile": pd.array([None] * len(pick), "Int64"), "a": np.minimum(x, y), "b": pd.array(np.maximum(x, y), "Int64"), "need": pd.array(need, "Int64")})
-            kept = rows.iloc[-NEIGHBOURS:]
-
-    return tiles(sets, F.xxhash64("vid")).mapInPandas(pair, "tile long, a long, b long, need long")
-
-
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Unconnected sets that meet often enough and whose sketches allow the threshold.
-
-    ``members``: tile, vid, n, comp, sketch. A tile is held whole, 160 bytes a row.
+            t, v = batch["tile"].to_numpy(), batch["vid"].to_numpy()
+            same = np.r_[tile is not None and t[0] == tile, t[1:] == t[:-1]]
+            begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(t))))
+            owners = np.where(begin < 0, -1 if owner is None else owner, v[begin])
+            begins = np.flatnonzero(same[1:] & ~same[:-1])
+            told_o, told_v = np.r_[owners[same], owners[begins]], np.r_[v[same], v[begins]]
+            if same[0] and first:
+                told_o, told_v = np.r_[told_o, owner], np.r_[told_v, owner]
+            if len(told_o):
+                yield pd.DataFrame({"owner": told_o, "vid": told_v})
+            tile, owner, first = t[-1], owners[-1], not same[-1]
+
+    band = F.length(F.bin("n")) - 1
+    low = F.expr(f"n * {percent} < 100 * shiftleft(1L, length(bin(n)) - 1)")
+    keys = sets.select("vid", F.explode("prefix").alias("key"), F.when(low, F.array(band, band - 1)).otherwise(F.array(band)).alias("bands"))
+    tiles = keys.select("vid", F.explode("bands").alias("band"), "key").select("vid", F.xxhash64("key", "band").alias("tile"))
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile", F.xxhash64("vid"), "vid")
+    return dealt.mapInPandas(own, "owner long, vid long").groupBy("owner", "vid").agg(F.count("*").alias("met"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def deals(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """vid, n_copies, owner, low, high, block, earlier: the tasks that a class goes to.
+
+    (low, high) are the pair of blocks held against each other, ``block`` is the class's own, ``earlier`` are the
+    owners of its groups below ``owner``.
     """
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                tile = rows["tile"].to_numpy()
-                whole = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0  # tiles are sorted
-                rows, rest = rows.iloc[:whole], rows.iloc[whole:]
-            elif rest is None:
-                return
-            else:
-                rows = rest
-            t, v, n, comp = (rows[c].to_numpy() for c in ("tile", "vid", "n", "comp"))
-            bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(t), SKETCH // 64)
-            later, shift = np.arange(len(t)), 0
-            while len(later):
-                shift += 1
-                later = later[later >= shift]
-                later = later[(t[later] == t[later - shift]) & (100 * n[later - shift] >= percent * n[later])]
-                pick = later[comp[later] != comp[later - shift]]
-                p, q = bits[pick - shift], bits[pick]
-                most = np.minimum(n[pick - shift] - np.bitwise_count(p & ~q).sum(1), n[pick] - np.bitwise_count(q & ~p).sum(1))
-                pick = pick[100 * most >= percent * (n[pick - shift] + n[pick] - most)]
-                if len(pick):
-                    x, y = v[pick - shift], v[pick]
-                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "need": 1 + n[pick - shift] // STRICT})
-
-    met = members.repartition("tile").sortWithinPartitions("tile", "n", "vid").mapInPandas(search, "a long, b long, need long")
-    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
-
-
-def fold(bitmap: bytes, size: int) -> np.ndarray:
-    """The bitmap brought to ``size`` bytes, a smaller power of two: bits are the low bits of the hash."""
-    x = np.frombuffer(bitmap, np.uint8)
-    while len(x) > size:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    return x
-
-
-def not_excluded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps allow the threshold."""
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for x, y, n_x, n_y in zip(batch["bitmap_a"], batch["bitmap_b"], batch["n_a"], batch["n_b"], strict=True):
-                size = min(len(x), len(y))
-                p, q = fold(x, size), fold(y, size)
-                most = min(n_x - int(np.bitwise_count(p & ~q).sum()), n_y - int(np.bitwise_count(q & ~p).sum()))
-                good.append(100 * most >= percent * (n_x + n_y - most))
-            yield batch.loc[good, ["a", "b"]]
-
-    left, right = (sets.select(F.col("vid").alias(v), F.col("n").alias(f"n_{v}"), F.col("bitmap").alias(f"bitmap_{v}")) for v in "ab")
-    return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
-
-
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sorted shingle arrays meet the threshold."""
-    left, right = (arrays.select(F.col("vid").alias(v), F.col("shingles").alias(f"s_{v}")) for v in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
-
-
-def shingle_arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(vid, shingles) of the wanted classes, computed again from one document of each."""
-    chosen = sets.join(wanted, "vid").select("vid", F.col("doc.key").alias("key"), "set_id")
-    texts = docs.select("text", row_key().alias("key")).join(chosen, "key").select("vid", "text", "set_id")
+    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / STRICT)
+    enough = members.groupBy("vid").agg(F.sum("met").alias("met")).join(sets.select("vid", "n", "n_copies"), "vid").where(F.col("met") >= need)
+    left = stage(members.select("owner", "vid").join(enough.select("vid", "n", "n_copies"), "vid"), "join-members")
+    groups = left.groupBy("owner").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    groups = groups.select("owner", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    kept = stage(left.join(groups, "owner"), "join-groups")
+    owners = kept.groupBy("vid").agg(F.collect_list("owner").alias("owners"))
+    block = F.pmod(F.xxhash64("vid"), F.col("blocks"))
+    tasks = kept.join(owners, "vid").select(
+        "vid", "n_copies", "owner", block.alias("block"), F.filter("owners", lambda x: x < F.col("owner")).alias("earlier"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    )
+    return tasks.select("vid", "n_copies", "owner", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "earlier")
+
+
+def shingle_arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(vid, shingles) of the classes in ``wanted`` (vid, doc), computed again from one document of each."""
+    chosen = small(stage(wanted.select("vid", F.col("doc.doc_id").alias("id"), F.col("doc.key").alias("key")), "join-wanted"))
+    texts = docs.select("doc_id", "text", row_key().alias("key")).join(chosen, ["key"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in blocks(batches, 2_000, BLOCK_CHARS):
             doc, h = distinct_sorted(*shingle_hashes(b["text"].tolist(), n))
-            cuts = np.cumsum(np.bincount(doc, minlength=len(b)))[:-1]
-            sums = np.r_[np.uint64(0), np.cumsum(mix(h + np.uint64(1)))]
-            ends = np.r_[cuts, len(h)]
-            first = sums[ends] - sums[np.r_[0, cuts]]
-            own = np.array([int.from_bytes(x[:8], "little") for x in b["set_id"]], np.uint64) == first  # keys are hashes
-            parts = np.split(h.view(np.int64), cuts)
-            yield pd.DataFrame({"vid": b["vid"].to_numpy()[own], "shingles": [p for p, o in zip(parts, own, strict=True) if o]})
+            ends = np.cumsum(np.bincount(doc, minlength=len(b)))
+            yield pd.DataFrame({"vid": b["vid"].to_numpy(), "shingles": [h[i:j].tobytes() for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)]})
+
+    return texts.groupBy("vid").agg(F.first("text").alias("text")).mapInPandas(again, "vid long, shingles binary")
+
+
+def bitmaps(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A row of bits for each set, 4 to 8 for each shingle of the largest."""
+    width = 64 << max(0, int(4 * sizes.max() - 1).bit_length() - 6)
+    bits = np.zeros((len(sizes), width // 8), np.uint8)
+    at = (h & np.uint64(width - 1)).astype(np.int64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sizes)), sizes), at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
+def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with others."""
+    out, start = np.zeros(len(others), np.int64), 0
+    ends = np.cumsum([len(x) for x in others])
+    while start < len(others):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LOOKED_UP, side="right")))
+        part = others[start:stop]
+        all_of = np.concatenate(part)
+        at = np.searchsorted(one, all_of)
+        at[at == len(one)] = 0
+        out[start:stop] = np.add.reduceat((one[at] == all_of).astype(np.int64), np.r_[0, np.cumsum([len(x) for x in part])[:-1]])
+        start = stop
+    return out
+
+
+def resolve(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a task's members (a, links) and edges (a, b) that connect what the links connect."""
+    arrays = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    arrays, sizes = [arrays[k] for k in order], sizes[order]
+    vid, copies, block = (group[c].to_numpy()[order] for c in ("vid", "n_copies", "block"))
+    across = group["low"].iloc[0] != group["high"].iloc[0]
+    earlier = [group["earlier"].iloc[k] for k in order]
+    listed = {o: k for k, o in enumerate(sorted({o for x in earlier for o in x}))}
+    met_before = np.zeros((len(arrays), len(listed)), bool)
+    for k, x in enumerate(earlier):
+        met_before[k, [listed[o] for o in x]] = True
+    bits, reach = bitmaps(sizes, np.concatenate(arrays)), np.searchsorted(percent * sizes, 100 * sizes, side="right")
+    component, links, edges = np.arange(len(arrays)), np.zeros(len(arrays), np.int64), []
+    for k in range(len(arrays) - 1):
+        later = np.arange(k + 1, reach[k])
+        if across:
+            later = later[block[later] != block[k]]
+        if met_before[k].any():
+            later = later[~met_before[np.ix_(later, met_before[k])].any(1)]
+        if not len(later):
+            continue
+        most = np.minimum(sizes[k] - np.bitwise_count(bits[k] & ~bits[later]).sum(1, np.int64), sizes[later] - np.bitwise_count(bits[later] & ~bits[k]).sum(1, np.int64))
+        later = later[100 * most >= percent * (sizes[k] + sizes[later] - most)]
+        if not len(later):
+            continue
+        shared = shared_counts(arrays[k], [arrays[j] for j in later])
+        linked = later[100 * shared >= percent * (sizes[k] + sizes[later] - shared)]
+        if not len(linked):
+            continue
+        links[k] += copies[linked].sum()
+        links[linked] += copies[k]
+        roots, one_of = np.unique(component[linked], return_index=True)
+        new = roots != component[k]
+        edges += [(vid[k], vid[j]) for j in linked[one_of[new]]]
+        component[np.isin(component, roots[new])] = component[k]
+    told = np.flatnonzero(links)
+    a, b = zip(*edges) if edges else ((), ())
+    nothing = [None] * len(told)
+    return pd.DataFrame({"a": np.r_[vid[told], np.array(a, np.int64)].astype(np.int64), "b": pd.array(nothing + list(b), "Int64"), "links": pd.array([*links[told].tolist(), *[None] * len(a)], "Int64")})
+
+
+def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, null, links) for every class with links to others, and edges (a, b, null) that connect them."""
 
-    return texts.mapInPandas(again, "vid long, shingles array<long>").dropDuplicates(["vid"])
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            names = rows[["owner", "low", "high"]].to_numpy()
+            starts = np.r_[0, np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if j - i > 1:
+                    yield resolve(rows.iloc[i:j], percent)
+            kept = rows.iloc[starts[-1] :]
+        if kept is not None and len(kept) > 1:
+            yield resolve(kept, percent)
+
+    members = stage(group_members(sets, percent), "join-tiles")
+    tasks = stage(deals(members, sets, percent), "join-deals")
+    wanted = tasks.select("vid").distinct().join(sets.select("vid", "doc"), "vid")
+    rows = shingle_arrays(docs, wanted, n).join(small(tasks), "vid")
+    dealt = rows.repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
+    return stage(dealt.mapInPandas(search, "a long, b long, links long"), "join-links")
 
 
 def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """row, n_shingles, component (its least row), n_copies of every row; a row is (no_id, doc_id, key), so null ids come last."""
-    rows = stage(document_sets(docs, n, percent), "join-documents")
+    """row, n_shingles, component (its least row), n_copies, n_links of every row; a row is (no_id, doc_id, key), so null ids come last."""
+    wide = stage(document_sets(docs, n, percent), "join-documents")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min(row).alias("doc"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"))
-    sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()).withColumn("ratio", F.lit(percent / 100)), "join-classes")
-    shared = stage(neighbour_pairs(sets, percent), "join-tiles")
-    vids = lambda df: df.select(F.col("a").alias("vid")).unionByName(df.select(F.col("b").alias("vid"))).distinct()
-    pairs = shared.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
-    pairs = stage(not_excluded(pairs, sets, percent), "join-near-pairs")
-    links = stage(verified(pairs, shingle_arrays(docs, sets, vids(pairs), n), percent), "join-near-links")
-    first = connected_components(links)
-
-    members = shared.where("b is null").select("tile", F.col("a").alias("vid")).distinct()
-    members = members.join(first.withColumnRenamed("v", "vid"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).drop("root")
-    several = members.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-    members = members.join(several, "tile").join(sets.select("vid", "n", "sketch"), "vid").select("tile", "vid", "n", "comp", "sketch")
-    rest = stage(not_excluded(open_pairs(members, percent), sets, percent), "join-open-pairs")
-    more = stage(verified(rest, shingle_arrays(docs, sets, vids(rest), n), percent), "join-open-links")
-    comps = connected_components(links.unionByName(more)) if more.head(1) else first
-
-    of_set = sets.join(comps.withColumnRenamed("v", "vid"), "vid", "left").select("set_id", "doc", "n_copies", F.coalesce("root", "vid").alias("comp"))
+    classes = wide.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min(row).alias("doc"), F.first("prefix").alias("prefix"), F.count("*").alias("n_copies"))
+    sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()), "join-classes")
+    rows = stage(wide.select(row.alias("row"), F.col("n").alias("n_shingles"), "set_id"), "join-rows")
+    discard(wide)
+    found = class_links(docs, sets, n, percent)
+    comps = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("v", "vid")
+    links = found.where("b is null").groupBy(F.col("a").alias("vid")).agg(F.sum("links").alias("links"))
+
+    of_set = sets.select("vid", "set_id", "doc", "n_copies").join(comps, "vid", "left").join(links, "vid", "left")
+    of_set = of_set.select("set_id", "doc", "n_copies", F.coalesce("root", "vid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     least = of_set.groupBy("comp").agg(F.min("doc").alias("component"))
-    named = of_set.join(least, "comp").select("set_id", "component", "n_copies")
-    linked = rows.where("n > 0").select(row.alias("row"), F.col("n").alias("n_shingles"), "set_id").join(named, "set_id").select("row", "n_shingles", "component", "n_copies")
-    return linked.unionByName(rows.where("n = 0").select(row.alias("row"), F.col("n").alias("n_shingles"), row.alias("component"), F.lit(1).cast("bigint").alias("n_copies")))
+    named = of_set.join(least, "comp").select("set_id", "component", "n_copies", "n_links")
+    linked = rows.where("n_shingles > 0").join(named, "set_id").select("row", "n_shingles", "component", "n_copies", "n_links")
+    alone = rows.where("n_shingles = 0").select("row", "n_shingles", F.col("row").alias("component"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"))
+    return linked.unionByName(alone)
 
 
 def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (rows with an equal set) of every row."""
-    return row_components(docs, n, percent).select(F.col("row.doc_id").alias("doc_id"), "n_shingles", F.col("component.doc_id").alias("component_id"), "n_copies")
+    """doc_id, n_shingles, component_id, n_copies, n_links of every row."""
+    return row_components(docs, n, percent).select(F.col("row.doc_id").alias("doc_id"), "n_shingles", F.col("component.doc_id").alias("component_id"), "n_copies", "n_links")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each component: that of the least id, of a null id only if there is no other.
 
-    Rows are told apart by id and text, so rows that repeat an id, or have none, stay unless they are copies. Rows
-    without words are copies of nothing and all stay.
+    Rows are told apart by id and text, so rows that repeat an id, or have none, stay unless they are copies; of rows
+    that are equal in both, one stays. Rows without words are copies of nothing and all stay. All columns of ``docs`` are
+    kept, whatever their names; an empty table gives an empty one.
     """
-    least = row_components(docs, n, percent).where("n_shingles > 0 and row.key = component.key").select(F.col("row.key").alias("_key")).distinct()
+    key, id_, least_key = free_names(docs, "key", "id", "least")
+    least = row_components(docs, n, percent).where("n_shingles > 0 and row = component").select(F.col("row.doc_id").alias(id_), F.col("row.key").alias(least_key)).distinct()
     has_words = F.coalesce("text", F.lit("")).rlike(WORD)
-    kept = docs.where(has_words).withColumn("_key", row_key()).dropDuplicates(["_key"]).join(least, "_key", "left_semi")
+    kept = docs.where(has_words).withColumn(key, row_key()).dropDuplicates(["doc_id", key])
+    kept = kept.join(least, (F.col(key) == F.col(least_key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
     return kept.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_copies")
+    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_copies", "n_links")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -44,3 +44,13 @@ def window_hashes(word_array: Column, n: int) -> Column:
         return let(pair(runs[size], runs[step], size), lambda x: grow(runs | {size + step: x}, size + step))
 
     return let(F.transform(word_array, lambda x: F.xxhash64(x)), lambda ones: grow({1: ones}, 1))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names of helper columns that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while f"_{name}".lower() in taken:
+            name = "_" + name
+        out.append(f"_{name}")
+    return out
