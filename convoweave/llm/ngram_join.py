@@ -11,7 +11,9 @@ first, however many copies there are, and the join runs between classes:
    below are in that tile too).
 2. A tile is owned by the class that comes first in it in the order of a hash of the classes' numbers (the same order in
    all tiles). Tiles with nearly the same members mostly have the same owner, so the many tiles that two near copies
-   share become one or two groups, without a row for any pair. Classes that are not in ``depth`` shared tiles leave.
+   share become a few groups, without a row for any pair. Owners are classes too: in ``ROUNDS`` rounds a group joins that
+   of the first owner that its own owner has a tile of, which leaves families of near copies one or two groups.
+   Classes that are not in ``depth`` shared tiles leave.
 3. The members of a group, one row each with its shingles, meet in a task. A group of over ``BLOCK_SHINGLES`` shingles is
    dealt to blocks by a hash, and each pair of blocks is a task of its own, so a task's memory is bounded. Inside, bitmaps
    of hashed shingles are held against each other: bits that one has and the other lacks are distinct missing
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoweave.llm.samples import blocks
@@ -43,6 +45,7 @@ from convoweave.shared import discard, stage
 
 SHINGLE, PERCENT = 3, 90
 STRICT = 50
+ROUNDS = 2
 BLOCK_CHARS = 400_000
 #: Shingles of a block of a group; a task holds two blocks, 8 bytes a shingle.
 BLOCK_SHINGLES = 2_000_000
@@ -50,8 +53,8 @@ BLOCK_SHINGLES = 2_000_000
 LOOKED_UP = 1_000_000
 #: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
 COUNTED, OFTEN, FREQUENT = 2_000_000, 5, 50_000
-#: Small tables (under 100 bytes a row) are broadcast up to this many rows, else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Small tables are broadcast up to this many values, else joined by shuffle.
+BROADCAST_VALUES = 5_000_000
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +141,16 @@ def group_members(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(own, "owner long, vid long").groupBy("owner", "vid").agg(F.count("*").alias("met"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def merged_groups(members: DataFrame) -> DataFrame:
+    """The same rows with fewer owners: each group joins that of the first owner of its own owner."""
+    place = F.struct(F.xxhash64("owner"), "owner")
+    first = members.groupBy(F.col("vid").alias("owner")).agg(F.min(place).alias("first")).select("owner", F.col("first.owner").alias("first"))
+    return members.join(first, "owner").groupBy(F.col("first").alias("owner"), "vid").agg(F.sum("met").alias("met"))
+
+
+def small(df: DataFrame, values: Column) -> DataFrame:
+    """Broadcast if its rows hold few ``values`` in all."""
+    return F.broadcast(df) if (df.agg(F.sum(values)).first()[0] or 0) <= BROADCAST_VALUES else df
 
 
 def deals(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +175,7 @@ def deals(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def shingle_arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(vid, shingles) of the classes in ``wanted`` (vid, doc), computed again from one document of each."""
-    chosen = small(stage(wanted.select("vid", F.col("doc.doc_id").alias("id"), F.col("doc.key").alias("key")), "join-wanted"))
+    chosen = small(stage(wanted.select("vid", F.col("doc.doc_id").alias("id"), F.col("doc.key").alias("key")), "join-wanted"), F.lit(3))
     texts = docs.select("doc_id", "text", row_key().alias("key")).join(chosen, ["key"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,9 +273,11 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
             yield resolve(kept, percent)
 
     members = stage(group_members(sets, percent), "join-tiles")
+    for _ in range(ROUNDS):
+        members = stage(merged_groups(members), "join-merged")
     tasks = stage(deals(members, sets, percent), "join-deals")
     wanted = tasks.select("vid").distinct().join(sets.select("vid", "doc"), "vid")
-    rows = shingle_arrays(docs, wanted, n).join(small(tasks), "vid")
+    rows = shingle_arrays(docs, wanted, n).join(small(tasks, F.size("earlier") + 6), "vid")
     dealt = rows.repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
     return stage(dealt.mapInPandas(search, "a long, b long, links long"), "join-links")
 

@@ -77,7 +77,7 @@ def test_a_thousand_near_copies(spark, n, percent):
 
 
 def test_shuffle_joins_instead_of_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_VALUES", 0)
     texts = families(9, [20, 60], 25, 4)
     assert found(spark, texts, 3, 90) == expected(texts, 3, 90)
 
