@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoweave.shared import stage
+
 
 @dataclass(frozen=True)
 class HostRule:
@@ -41,7 +43,7 @@ class PatternRule:
 HOST_RULES = (
     HostRule("com", "/", "allow"),
     HostRule("example.com", "/en/", "block"),
-    HostRule("www.example.com", "/", "allow"),
+    HostRule("www.example.com", "/en/", "allow"),
     HostRule("net", "/es/", "block"),
     HostRule("net", "/fr/", "block"),
 )
@@ -83,12 +85,16 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(url), "[^a-z0-9]+"), ""))
 
 
+def rule_table(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """The rules as literals of the plan, so no Python is needed to read them."""
+    kind = "struct<rule_name:string,regex:string,token:string>"
+    listed = F.array(*[F.struct(*map(F.lit, row)).cast(kind) for row in rows]).cast(f"array<{kind}>")
+    return spark.range(1).select(F.inline(listed))
+
+
 def rule_index(urls: DataFrame, rules: tuple[PatternRule, ...]) -> DataFrame:
     """One row per pattern with tokens: (token, regex, rule_name), token being its rarest among ``urls``."""
-    spark = urls.sparkSession
-    listed = spark.createDataFrame(
-        [(r.name, r.regex, t) for r in rules for t in r.tokens], "rule_name string, regex string, token string"
-    )
+    listed = rule_table(urls.sparkSession, [(r.name, r.regex, t) for r in rules for t in r.tokens])
     known = F.broadcast(listed.select("token").distinct()) if len(rules) <= BROADCAST_RULES else listed.select("token").distinct()
     seen = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(known, "token").groupBy("token").count()
     return (
@@ -129,7 +135,7 @@ def filter_urls(
         .withColumn("path", path_of(F.col("url")))
         .withColumn("found", host_rule(F.col("host"), F.col("path"), host_rules))
     )
-    open_urls = parts.where(F.col("found").isNull() & (F.col("host") != "")).select("url").distinct()
+    open_urls = stage(parts.where(F.col("found").isNull() & (F.col("host") != "")).select("url").distinct(), "open-urls")
     blocked = pattern_blocked(open_urls, pattern_rules)
     return parts.join(blocked, "url", "left").select(
         "page_id",
@@ -152,7 +158,7 @@ WITH parts AS (
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
-rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/', 'allow'),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                           ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 ruled AS (
   SELECT *, (SELECT max_by(struct_pack(rule := h || p, verdict := v), length(h || p)) FROM rules
