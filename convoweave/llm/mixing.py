@@ -13,8 +13,9 @@ wanted ``target / source size`` times. The whole part is taken at once, the frac
 
 So a source's words differ from its target by less than one document, most often a small one, and no document is
 taken more than the whole part plus one time. All draws are hashes of the ids, so reruns agree. Rows that repeat an id are told
-apart by their ordinal among the rows of that id and size. Documents without words are taken 0 times. Extra
-columns of the input are ignored by ``mix`` and kept by ``resample``.
+apart by their ordinal among the rows of that id and size. Documents without words are taken 0 times; a source without
+words has a target of 0. Extra columns of the input are ignored by ``mix`` and kept by ``resample``, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoweave.llm.ranks import with_rank
-from convoweave.llm.text import WORD, let
+from convoweave.llm.text import WORD, free_names, let
 from convoweave.shared import stage
 
 WEIGHTS = (5, 2, 1)
@@ -92,7 +93,7 @@ def copies(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = sizes.where("size > 0").join(
         F.broadcast(targets) if targets.count() <= 100_000 else targets, sizes["source"].eqNullSafe(targets["source"])
     ).drop(targets["source"])
-    rate = F.col("target") / F.col("source_size")
+    rate = F.try_divide("target", "source_size")
     wanted = wanted.withColumn("whole", F.floor(rate + 1e-12).cast("int")).withColumn("p", F.greatest(rate - F.floor(rate + 1e-12), F.lit(0.0)))
     row = F.struct("doc_id", "ordinal", "source", "size")
     units = wanted.where("p > 1e-12").select("source", F.struct(row.alias("row"), F.col("p").alias("p")).alias("unit"))
@@ -114,7 +115,7 @@ def copies(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         units = left.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
     last = left.select("unit.row", (draw(F.col("unit.row"), -1) < F.col("unit.p")).cast("double").alias("p"))
     decided = decided.unionByName(last)
-    whole = targets.select(F.col("source").alias("s"), F.floor(F.col("target") / F.col("source_size") + 1e-12).cast("int").alias("whole"))
+    whole = targets.select(F.col("source").alias("s"), F.floor(F.try_divide("target", "source_size") + 1e-12).cast("int").alias("whole"))
     out = decided.select("row.*", "p")
     return out.join(whole, out["source"].eqNullSafe(whole["s"])).select("doc_id", "ordinal", "source", "size", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
@@ -143,19 +144,14 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Rows of one id, source and size are interchangeable: they share the copies those rows were given.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    doc_id, source, words, ordinal, n, size, nth, copy = free_names(docs, "d", "s", "n", "o", "copies", "size", "ordinal", "copy")
     sizes = stage(measured(docs), "mix-sizes")
-    given = copies(sizes, stage(source_targets(sizes, weights, share), "mix-targets"))
-    given = given.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("ordinal").alias("_o"), "copies")
-    given = given.where("copies > 0")
-    numbered = docs.withColumn("_size", size).withColumn(
-        "_ordinal", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("doc_id"))
-    )
-    joined = numbered.join(
-        given,
-        F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_ordinal") == F.col("_o")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    given = copies(sizes, stage(source_targets(sizes, weights, share), "mix-targets")).where("copies > 0")
+    given = given.toDF(doc_id, source, words, ordinal, n)
+    numbered = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
+    numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("doc_id")))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(words)) & (F.col(nth) == F.col(ordinal))
+    return numbered.join(given, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoweave.llm.samples import blocks, held_out, label_rate, labelled_sample
+from convoweave.llm.text import free_names
 
 PER_CLASS = 1500
 MAX_TRAIN_BYTES = 20_000
@@ -120,10 +121,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
             x = term_shares(b["text"].tolist(), codes)
             yield b.assign(score=np.where(x.any(1), vote(unit(x @ axes), known, votes, rate), rate).astype(float).round(9))
 
-    null_text = docs.select(*names).withColumn("_null", F.col("text").isNull())
-    schema = schema.add("_null", "boolean")
+    (no_text,) = free_names(docs, "null")
+    null_text = docs.select(*names).withColumn(no_text, F.col("text").isNull())
+    schema = schema.add(no_text, "boolean")
     out = null_text.mapInPandas(lambda it: (b[[f.name for f in schema]] for b in score(it)), schema)
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("text"))).drop("_null")
+    out = out.withColumn("text", F.when(~F.col(no_text), F.col("text"))).drop(no_text)
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -8,7 +8,7 @@ gradient ascent on the regularised conditional likelihood. Every whole text is t
 each token's marginal; marginals of ``CONSIDERED`` or more combine to the document's score as one minus the product
 of their complements; neighbouring tokens of ``TAGGED`` or more form a span, given by its character offsets.
 
-A text without tokens, or any text if the labels have no toxic row, scores 0. Other columns have no influence; rows
+A text without tokens, or any text if no toxic row of the sample has tokens, scores 0. Other columns have no influence; rows
 that repeat an id are scored each by its text; extra columns are ignored.
 """
 
@@ -163,7 +163,7 @@ def spans(text: str, marginals: np.ndarray) -> list[dict]:
 def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, spans of every row."""
     texts, y = labelled_sample(docs, labels, label, PER_CLASS, MAX_TRAIN_BYTES)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, y) if y.sum() else None)
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, y) if any(t.split() for t, label in zip(texts, y, strict=True) if label) else None)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Emissions(*model.value[:2]) if model.value else None
