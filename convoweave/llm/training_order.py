@@ -1,14 +1,20 @@
 """Training-order materialisation: token sequences in a keyed random order, in shards of fixed stride.
 
-Documents are tokenised with a public byte-level vocabulary (its path is a parameter) and cut into sequences of
-``SEQUENCE`` ids, the last of each document padded. The sequences are numbered 0 to N-1 in the order of the staged
-token table; a keyed Feistel network over the next even power of two, walked along its cycle until it falls below N,
-gives each its global slot, a permutation that anybody with key and N can evaluate or invert. Slots are dealt by range:
-shard s holds slots ``s * per_shard`` onwards, each at byte ``(slot % per_shard) * stride`` of its file as
-little-endian 16-bit ids. A reader resumes at any slot by seeking. A shard is written under another name and renamed
-when whole, so a repeated task does no harm.
-
-Null and empty texts have no sequences. Rows that repeat an id are written each. Extra columns are ignored.
+Documents are tokenised with a public byte-level vocabulary (its path is a parameter). The documents of an input partition
+stand end to end, each followed by one ``PAD`` id, and are cut into sequences of ``SEQUENCE`` ids; only the last sequence of
+a partition is padded. A sequence is known by ``partition * PART_SEQUENCES + its number in the partition``. A keyed Feistel
+network over the next even power of two, walked along its cycle until it falls below ``DOMAIN``, permutes these numbers;
+anybody with the key can evaluate or invert it, and it does not change when other partitions are added. The order of
+the permuted numbers is the training order: a sequence's global slot is the number of sequences before it.
+
+Shards are equal ranges of the permuted numbers. Each is written by one task as little-endian 16-bit ids, the sequence
+of slot ``k`` in it at byte ``k * STRIDE``; the slots of a shard follow those of the shard before. So ids are exchanged
+once (compressed, in blocks of a shard) and need no table of their own, and a reader resumes at any slot by seeking
+(``read_slots``). A shard is written under another name and renamed when whole, so a repeated task does no harm.
+
+Rows of the result, one for each stretch of a document in a sequence: doc_id, sequence, slot, shard, byte_offset (of the
+stretch in the shard's file), doc_offset (ids of the document before it), n_tokens, ids_crc32. Null and empty texts have
+no sequences. Rows that repeat an id are written each. Extra columns are ignored. An empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from convoweave.llm.samples import blocks
 from convoweave.shared import stage, staging_path
@@ -31,8 +39,14 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PAD = 50_256
 SEQUENCE, KEY, ROUNDS = 512, 0x1F2E3D4C5B6A7988, 6
-SHARD_SEQUENCES = 8_192
 STRIDE = 2 * SEQUENCE
+#: Sequences of a partition and partitions that the permuted numbers have room for.
+PART_SEQUENCES, PARTS = 1 << 36, 10_000_000
+DOMAIN = PART_SEQUENCES * PARTS
+#: Bytes of text that a shard is made from; the task that writes it holds its ids.
+SHARD_BYTES = 32 << 20
+#: Sequences that a tokenising task gathers before it deals them to shards.
+GATHERED = 16_384
 CACHED_PIECES = 200_000
 
 
@@ -65,11 +79,19 @@ class Pieces(dict):
         return out
 
 
-def load(path: str) -> Pieces:
+def vocabulary(path: str) -> bytes:
+    """The vocabulary file, read on the driver: under 2 MB."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(name) as f:
+        return f.read()
+
+
+def load(lines: bytes) -> Pieces:
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     return Pieces(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
 
 
@@ -104,75 +126,135 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, part, before, n_sequences, ids of every row with tokens; ``before`` counts the part's earlier sequences."""
+class Stream:
+    """The ids of a partition's documents end to end, handed out as whole sequences."""
+
+    def __init__(self, part: int, shards: int, key: int):
+        self.first, self.width, self.key = part * PART_SEQUENCES, -(-DOMAIN // shards), key
+        self.ids: list[bytes] = []
+        self.docs: list[tuple[int, bool, int, int]] = []  # id, no id, begin, end, counted from the first id held
+        self.size = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, self.size, self.size + len(ids) // 2))
+        self.ids += [ids, np.uint16(PAD).tobytes()]
+        self.size += len(ids) // 2 + 1
+
+    def take(self, last: bool) -> pd.DataFrame:
+        """A row for each shard that has any of the whole sequences; the rest waits, or is padded if it is the last."""
+        data = b"".join(self.ids)
+        if last and self.docs:
+            data += np.uint16(PAD).tobytes() * (-self.size % SEQUENCE)
+        n = len(data) // STRIDE
+        doc, none, begin, end = (np.array(x, np.int64) for x in (zip(*self.docs) if self.docs else ((), (), (), ())))
+        low, high = np.maximum(begin, 0), np.minimum(end, n * SEQUENCE)
+        pieces = np.where(low < high, (high - 1) // SEQUENCE - low // SEQUENCE + 1, 0)
+        of = np.repeat(np.arange(len(doc)), pieces)
+        sequence = (low // SEQUENCE)[of] + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, stop = np.maximum(low[of], sequence * SEQUENCE), np.minimum(high[of], (sequence + 1) * SEQUENCE)
+        if last and len(of):
+            n = int(sequence[-1]) + 1  # no sequence that holds nothing but padding
+        names = [x.split()[0] for x in BLOCK.split(", ")]
+        if not n:
+            return pd.DataFrame([], columns=names)
+        grid = np.frombuffer(data[: n * STRIDE], np.uint16).reshape(n, SEQUENCE)
+        index = self.first + np.arange(n)
+        place = feistel(index, DOMAIN, self.key)
+        shard = place // self.width
+        press, rows = zstandard.ZstdCompressor(level=1), []
+        order, by_shard = np.argsort(shard, kind="stable"), np.argsort(shard[sequence], kind="stable")
+        shards, cuts = np.unique(shard[order], return_index=True)
+        piece_cuts = np.searchsorted(shard[sequence][by_shard], shards)
+        counts = np.bincount(sequence, minlength=n)
+        for k, own, p in zip(shards, np.split(order, cuts[1:]), np.split(by_shard, piece_cuts[1:]), strict=True):
+            rows.append((
+                k, index[own], place[own], press.compress(grid[own].tobytes()), counts[own], doc[of[p]], none[of[p]] > 0,
+                (start - sequence * SEQUENCE)[p], (start - begin[of])[p], (stop - start)[p],
+            ))
+        self.first, self.size, self.ids = self.first + n, self.size - n * SEQUENCE, [data[n * STRIDE :]]
+        self.docs = [(d, x, i - n * SEQUENCE, j - n * SEQUENCE) for d, x, i, j in self.docs if j > n * SEQUENCE]
+        return pd.DataFrame(rows, columns=names)
+
+
+BLOCK = "shard int, sequence array<long>, place array<long>, ids binary, pieces array<long>, doc array<long>, no_id array<boolean>, at array<long>, doc_offset array<long>, n_tokens array<long>"
+MANIFEST = "doc_id long, sequence long, shard int, shard_slot long, byte_offset long, doc_offset long, n_tokens long, ids_crc32 long"
+
+
+def write_shard(rows: pd.DataFrame, target: str) -> pd.DataFrame:
+    """Writes the file of a shard from all its blocks; returns its stretches."""
+    from pyarrow import fs
+
+    shard, unpress = int(rows["shard"].iloc[0]), zstandard.ZstdDecompressor()
+    grid = np.concatenate([np.frombuffer(unpress.decompress(x), np.uint16) for x in rows["ids"]]).reshape(-1, SEQUENCE)
+    sequence, place, pieces, doc, none, at, doc_offset, n = (np.concatenate(list(rows[c])) for c in ("sequence", "place", "pieces", "doc", "no_id", "at", "doc_offset", "n_tokens"))
+    order = np.argsort(place)
+    slot = np.empty(len(order), np.int64)
+    slot[order] = np.arange(len(order))
+    system, folder = fs.FileSystem.from_uri(target)
+    system.create_dir(folder, recursive=True)
+    partial = f"{folder}/.shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
+    with system.open_output_stream(partial) as out:
+        out.write(grid[order].tobytes())
+    system.move(partial, f"{folder}/shard-{shard:06d}.bin")
+    of = np.repeat(np.arange(len(sequence)), pieces)
+    data = grid.tobytes()
+    starts = of * STRIDE + 2 * at
+    crc = [zlib.crc32(data[i:j]) for i, j in zip(starts.tolist(), (starts + 2 * n).tolist(), strict=True)]
+    doc_id = pd.arrays.IntegerArray(doc, none.astype(bool))
+    return pd.DataFrame({"doc_id": doc_id, "sequence": sequence[of], "shard": shard, "shard_slot": slot[of], "byte_offset": slot[of] * STRIDE + 2 * at, "doc_offset": doc_offset, "n_tokens": n, "ids_crc32": crc})
+
+
+def materialise(docs: DataFrame, target: str, tokenizer: str = TOKENIZER, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards to the folder ``target`` (a URI all executors reach) and returns a row for each stretch."""
+    lines = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, part, before = load(path), TaskContext.get().partitionId(), 0
+        pieces, stream = load(lines.value), Stream(TaskContext.get().partitionId(), shards, key)
         for b in blocks(batches, 2_000, 2_000_000):
-            ids = [tokenize(t, pieces) if t else b"" for t in b["text"]]
-            n = np.array([-(-len(x) // STRIDE) for x in ids])
-            ends = before + np.cumsum(n)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "part": part, "before": ends - n, "n_sequences": n, "ids": ids})
-            before = ends[-1]
-
-    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, part int, before long, n_sequences long, ids binary").where("n_sequences > 0")
-
-
-def materialise(docs: DataFrame, target: str, tokenizer: str = TOKENIZER, key: int = KEY, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
-    """Writes the shards to the folder ``target`` (a URI all executors reach) and returns a row for each sequence."""
-    table = stage(tokens(docs, tokenizer), "token-ids")
-    sums = table.groupBy("part").agg(F.sum("n_sequences").alias("n")).collect()  # one row for each task that tokenised
-    base, n = {}, 0
-    for r in sorted(sums, key=lambda r: r["part"]):
-        base[r["part"]], n = n, n + r["n"]
-    bases = docs.sparkSession.sparkContext.broadcast(base)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 500):
-                out = []
-                for doc, part, before, x in zip(*(b[c][i : i + 500] for c in ("doc_id", "part", "before", "ids")), strict=True):
-                    first = bases.value[part] + before
-                    out += [(doc, first + j, x[j * STRIDE : (j + 1) * STRIDE]) for j in range(-(-len(x) // STRIDE))]
-                f = pd.DataFrame(out, columns=["doc_id", "index", "ids"])
-                f["doc_id"] = f["doc_id"].astype("Int64")
-                f["slot"] = feistel(f["index"].to_numpy(np.int64), n, key)
-                yield f
+            for doc, text in zip(b["doc_id"].astype("Int64").to_numpy(object, na_value=None), b["text"], strict=True):
+                if text:
+                    stream.add(doc, tokenize(text, pieces))
+            if stream.size >= GATHERED * SEQUENCE:
+                yield stream.take(False)
+        yield stream.take(True)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, folder = fs.FileSystem.from_uri(target)
-        out, current, partial = None, None, ""
-
-        def finish():
-            if out is not None:
-                out.close()
-                system.move(partial, f"{folder}/shard-{current:06d}.bin")
-
-        for b in batches:
-            pad = np.uint16(PAD).tobytes()
-            done = []
-            for doc, index, slot, x in zip(b["doc_id"], b["index"], b["slot"], b["ids"], strict=True):
-                shard = slot // shard_sequences
-                if shard != current:
-                    finish()
-                    current, partial = shard, f"{folder}/.shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
-                    system.create_dir(folder, recursive=True)
-                    out = system.open_output_stream(partial)
-                out.write(x + pad * ((STRIDE - len(x)) // 2))
-                done.append((doc, index, slot, shard, slot % shard_sequences * STRIDE, len(x) // 2, zlib.crc32(x)))
-            f = pd.DataFrame(done, columns=["doc_id", "sequence", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32"])
-            f["doc_id"] = f["doc_id"].astype("Int64")
-            yield f
-        finish()
-
-    shards = max(1, -(-n // shard_sequences))
-    placed = table.mapInPandas(cut, "doc_id long, index long, ids binary, slot long")
-    dealt = placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences)).repartition(shards, "shard").sortWithinPartitions("slot").drop("shard")
-    written = dealt.mapInPandas(write, "doc_id long, sequence long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long")
-    return stage(written, "shard-manifest")
+        rows = pd.concat([pd.DataFrame(columns=["shard"]), *batches])
+        for _, own in rows.groupby("shard"):
+            yield write_shard(own, target)
+
+    dealt = docs.select("doc_id", "text").mapInPandas(encode, BLOCK).repartitionById(shards, "shard")
+    written = stage(dealt.mapInPandas(write, MANIFEST), "shard-manifest")
+    counts = written.groupBy("shard").agg((F.max("shard_slot") + 1).alias("n"))  # a row for each shard
+    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = F.broadcast(counts.select("shard", before.alias("first")))
+    return written.join(firsts, "shard").select(
+        "doc_id", "sequence", (F.col("first") + F.col("shard_slot")).alias("slot"), F.col("shard").cast("long").alias("shard"), "byte_offset", "doc_offset", "n_tokens", "ids_crc32"
+    )
+
+
+def shard_counts(manifest: DataFrame) -> list[int]:
+    """Sequences of each shard from 0, a number for each: what a reader needs to find a slot."""
+    rows = manifest.groupBy("shard").agg(F.count_distinct("slot").alias("n")).collect()
+    known = {r["shard"]: r["n"] for r in rows}
+    return [known.get(k, 0) for k in range(max(known, default=-1) + 1)]
+
+
+def read_slots(target: str, counts: list[int], first: int, n: int) -> Iterator[np.ndarray]:
+    """The sequences of ``n`` slots from ``first``, in order, shard after shard."""
+    from pyarrow import fs
+
+    system, folder = fs.FileSystem.from_uri(target)
+    for shard, size in enumerate(counts):
+        if first < size and n > 0:
+            with system.open_input_file(f"{folder}/shard-{shard:06d}.bin") as f:
+                f.seek(first * STRIDE)
+                some = min(n, size - first)
+                yield from np.frombuffer(f.read(some * STRIDE), np.uint16).reshape(some, SEQUENCE)
+            first, n = size, n - some
+        first = max(0, first - size)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

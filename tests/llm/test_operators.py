@@ -167,17 +167,37 @@ def test_repeats(docs, empty, texts, spark):
 
 def test_url_filters(spark):
     urls = {
-        1: ("http://WWW.Example.com/en/1?x=1", "www.example.com", "/en/1", "www.example.com/", "allow"),
+        1: ("http://WWW.Example.com/en/1?x=1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
         2: ("https://m.example.com/en/2#t", "m.example.com", "/en/2", "example.com/en/", "block"),
         3: ("http://a.net/es/", "a.net", "/es/", "net/es/", "block"),
         4: ("http://cheap-pills.example.org/x", "cheap-pills.example.org", "/x", None, "block"),
         5: (None, "", "", None, "allow"),
         6: ("no scheme", "", "", None, "allow"),
         7: ("http://x.com", "x.com", "", None, "allow"),
+        8: ("http://www.example.com/fr/x", "www.example.com", "/fr/x", "com/", "allow"),
+        9: ("http://a.www.example.com/es/", "a.www.example.com", "/es/", "com/", "allow"),
+        10: ("http://a.www.example.com/en/", "a.www.example.com", "/en/", "www.example.com/en/", "allow"),
+        11: ("http://example.com/en/x", "example.com", "/en/x", "example.com/en/", "block"),
+        12: ("http://notexample.com/en/x", "notexample.com", "/en/x", "com/", "allow"),
+        13: ("", "", "", None, "allow"),
     }
     df = spark.createDataFrame([(k, v[0], "z") for k, v in urls.items()], "page_id long, url string, host string")
     got = {r["page_id"]: tuple(r[c] for c in ("host", "path", "rule", "verdict")) for r in url_filters.filter_urls(df).collect()}
     assert got == {k: v[1:] for k, v in urls.items()}
+    twice = df.unionByName(df)
+    assert url_filters.filter_urls(twice).count() == 2 * len(urls) and url_filters.filter_urls(df.where("false")).count() == 0
+
+
+def test_url_filters_equal_their_sql(spark, tmp_path):
+    hosts = ["WWW.Example.com", "m.www.example.com", "example.com", "a.example.com", "x.com", "a.net", "net", "org", "cheap-pills.org", "best-casino.net", ""]
+    tails = ["", "/", "/en", "/en/", "/en/a?b=/es/", "/es/#x", "/fr/y", "/EN/", "?goto=https://a", "?redirect=http", "?utm_source=feed"]
+    urls = [f"{s}{h}{t}" for s in ("http://", "a://b://", "x") for h in hosts for t in tails] + [None, ""]
+    spark.createDataFrame([*enumerate(urls), (0, urls[0]), (None, urls[5])], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = "page_id, host, path, rule, verdict, pattern"
+    got = url_filters.query(spark, str(tmp_path)).select(*columns.split(", ")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, duck.sql(f"SELECT {columns} FROM ({url_filters.SQL})").fetchall()))
 
 
 def test_url_patterns_equal_a_full_scan(spark):
@@ -245,21 +265,62 @@ def test_forward_backward_is_exact():
     assert np.allclose(marked / total, toxicity.sigmoid(f + b))
 
 
-def test_training_order(spark, docs, texts, tmp_path):
+def check_shards(rows, folder, texts_by_id):
+    """Every document stands in the shards, byte for byte, and what is left of each sequence is padding."""
+    encoding = training_order.load(training_order.vocabulary(training_order.TOKENIZER)).encoding
+    data = {}
+    for r in rows:
+        if r["shard"] not in data:
+            with open(f"{folder}/shard-{r['shard']:06d}.bin", "rb") as f:
+                data[r["shard"]] = bytearray(f.read())
+    found = {}
+    for r in sorted(rows, key=lambda r: r["doc_offset"]):
+        x = data[r["shard"]][r["byte_offset"] : r["byte_offset"] + 2 * r["n_tokens"]]
+        assert zlib.crc32(x) == r["ids_crc32"]
+        ids = found.setdefault(r["doc_id"], [])
+        assert len(ids) == r["doc_offset"]
+        ids.extend(np.frombuffer(x, np.uint16).tolist())
+    for r in rows:
+        data[r["shard"]][r["byte_offset"] : r["byte_offset"] + 2 * r["n_tokens"]] = np.full(r["n_tokens"], training_order.PAD, np.uint16).tobytes()
+    assert all((np.frombuffer(x, np.uint16) == training_order.PAD).all() for x in data.values())
+    assert found == {k: encoding.encode_ordinary(t) for k, t in texts_by_id.items() if t}
+    slots = sorted({r["slot"] for r in rows})
+    assert slots == list(range(len(slots)))
+    assert [r["slot"] for r in sorted(rows, key=lambda r: (r["shard"], r["byte_offset"]))] == sorted(r["slot"] for r in rows)
+    by_place = sorted({(int(training_order.feistel(np.array([r["sequence"]]), training_order.DOMAIN)[0]), r["slot"]) for r in rows})
+    assert [s for _, s in by_place] == slots
+
+
+@pytest.mark.parametrize("gathered", [16_384, 3])
+def test_training_order(spark, docs, texts, tmp_path, monkeypatch, gathered):
+    monkeypatch.setattr(training_order, "GATHERED", gathered)
     target = f"file://{tmp_path}/shards"
-    rows = training_order.materialise(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), target, shard_sequences=4).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    encoding, pieces = training_order.load(training_order.TOKENIZER).encoding, {}
-    for r in sorted(rows, key=lambda r: r["sequence"]):
-        with open(f"{tmp_path}/shards/shard-{r['shard']:06d}.bin", "rb") as f:
-            f.seek(r["byte_offset"])
-            x = np.frombuffer(f.read(training_order.STRIDE), np.uint16)
-        pieces.setdefault(r["doc_id"], []).extend(x[: r["n_tokens"]].tolist())
-        assert (x[r["n_tokens"] :] == training_order.PAD).all()
-    for k, t in enumerate(texts):
-        assert pieces.get(k, []) == (encoding.encode_ordinary(t) if t else [])
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    many = known.unionByName(spark.createDataFrame([(1000 + k, prose(400 + k, 300), "", "", 0, "", "") for k in range(60)], SCHEMA))
+    out = training_order.materialise(many, target, shard_bytes=20_000)
+    rows = out.collect()
+    assert len({r["shard"] for r in rows}) > 3
+    check_shards(rows, f"{tmp_path}/shards", dict(enumerate(texts)) | {1000 + k: prose(400 + k, 300) for k in range(60)})
+    counts = training_order.shard_counts(out)
+    whole = list(training_order.read_slots(target, counts, 0, sum(counts)))
+    assert len(whole) == sum(counts) == 1 + max(r["slot"] for r in rows)
+    middle = counts[0] + counts[1] // 2  # within a shard, over the end of it
+    rest = list(training_order.read_slots(target, counts, middle, counts[1]))
+    assert len(rest) == counts[1] and all((x == y).all() for x, y in zip(rest, whole[middle:]))
+    assert sorted(map(tuple, training_order.materialise(many, f"{target}2", shard_bytes=20_000).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+
+
+def test_training_order_of_repeats_nulls_and_nothing(spark, docs, empty, tmp_path):
+    assert training_order.materialise(empty, f"file://{tmp_path}/none").count() == 0
+    rows = [(None, "a b"), (None, "a b"), (7, "a b"), (7, "a b"), (8, None), (9, "")]
+    out = training_order.materialise(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/few").collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["7", "7", "None", "None"] and len({r["ids_crc32"] for r in out}) == 1
+
+
+def test_tokenize_and_feistel():
+    pieces = training_order.load(training_order.vocabulary(training_order.TOKENIZER))
     for t in (" a", "a ", "a  b", "a \n b", "a\nb c", " ", "a \u00a0b", "it's 12 o'clock", "\u00e9t\u00e9 \U0001f600 x"):
-        assert training_order.tokenize(t, training_order.load(training_order.TOKENIZER)) == np.array(encoding.encode_ordinary(t), np.uint16).tobytes()
+        assert training_order.tokenize(t, pieces) == np.array(pieces.encoding.encode_ordinary(t), np.uint16).tobytes()
     for n in (1, 2, 5, 1000):
         slots = training_order.feistel(np.arange(n), n)
         assert sorted(slots) == list(range(n)) and (training_order.feistel(slots, n, inverse=True) == np.arange(n)).all()
