@@ -4,16 +4,15 @@ A document's set holds the hashes (64 bits) of its distinct runs of ``n`` words,
 run, no words an empty set. Two documents link when ``100 * |A & B| >= percent * |A | B|``. Equal sets form one class
 first, however many copies there are, and the join runs between classes:
 
-1. Any order of shingles allows this: partners lack at most ``floor((1 - percent/100) * |A|)`` of each other's
-   shingles, so the first that many plus ``depth`` shingles of both sets share at least ``depth``, with
-   ``depth = 1 + |smaller| // STRICT``. The order used puts shingles that are frequent anywhere in the corpus last.
-   A tile is one such shingle within one band of sizes (a power of two; sets that may have a partner in the band
-   below are in that tile too).
+1. Linked sets differ in at most ``(|A| + |B|) * (100 - percent) // (100 + percent)`` shingles. For each band of sizes the range
+   of hashes is cut into more parts than that, so linked sets agree in a part: a tile is the content of one part within one
+   band (sets that may have a smaller partner in the band below are in its tiles too). Parts hold several shingles, so
+   common phrases and shared passages bring nothing together, only what is alike in most. Empty parts are no tiles; ``SPARE`` parts
+   make up for as many empty ones, and sets with more of them also meet on a prefix of their shingles in the order of hashes.
 2. A tile is owned by the class that comes first in it in the order of a hash of the classes' numbers (the same order in
    all tiles). Tiles with nearly the same members mostly have the same owner, so the many tiles that two near copies
    share become a few groups, without a row for any pair. Owners are classes too: in ``ROUNDS`` rounds a group joins that
    of the first owner that its own owner has a tile of, which leaves families of near copies one or two groups.
-   Classes that are not in ``depth`` shared tiles leave.
 3. The members of a group, one row each with its shingles, meet in a task. A group of over ``BLOCK_SHINGLES`` shingles is
    dealt to blocks by a hash, and each pair of blocks is a task of its own, so a task's memory is bounded. Inside, bitmaps
    of hashed shingles are held against each other: bits that one has and the other lacks are distinct missing
@@ -30,6 +29,7 @@ hash of id and text. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,87 +41,116 @@ from convoweave.llm.samples import blocks
 from convoweave.llm.shingles import distinct_sorted, mix, shingle_hashes
 from convoweave.llm.text import WORD, free_names, row_key
 from convoweave.operators.components import connected_components
-from convoweave.shared import discard, stage
+from convoweave.shared import stage
 
 SHINGLE, PERCENT = 3, 90
-STRICT = 50
 ROUNDS = 2
 BLOCK_CHARS = 400_000
 #: Shingles of a block of a group; a task holds two blocks, 8 bytes a shingle.
 BLOCK_SHINGLES = 2_000_000
 #: Shingles that are looked up at once.
 LOOKED_UP = 1_000_000
-#: A shingle is frequent if tasks counted it so often in a run of ``COUNTED`` shingles; at most ``FREQUENT`` are broadcast.
-COUNTED, OFTEN, FREQUENT = 2_000_000, 5, 50_000
+#: Sets that have more empty parts than their band has spare ones: at most this share of the band's smallest sets.
+SPARE = 0.02
+#: Numbers of sets that a task remembers, so that copies among its documents make tiles once.
+REMEMBERED = 500_000
 #: Small tables are broadcast up to this many values, else joined by shuffle.
 BROADCAST_VALUES = 5_000_000
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shingles, and their ranks (higher is more frequent). Only orders the prefixes."""
+def size_bands(percent: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each band of sizes: its largest size, its number of parts (0: only equal sets link), and its spare parts."""
+    tops, parts, spare, low, top = [], [], [], 1, 1
+    while low <= largest:
+        apart = (top + 100 * top // percent) * (100 - percent) // (100 + percent)
+        more = 0
+        while apart and empty_excess((apart + 1 + more) * math.exp(-low / (apart + 1 + more)), more) > SPARE and more < apart:
+            more += 1 + more // 16
+        tops.append(top)
+        parts.append(apart + 1 + more if apart else 0)
+        spare.append(more)
+        low, top = top + 1, max(top + 1, 100 * top // percent, int(top * 1.41421))
+    return np.array(tops, np.int64), np.array(parts, np.uint64), np.array(spare, np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[np.ndarray] = []
 
-        def flush() -> pd.DataFrame:
-            h, c = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pd.DataFrame({"h": h[c >= OFTEN].view(np.int64), "c": c[c >= OFTEN]})
+def empty_excess(mean: float, most: int) -> float:
+    """Chance that a Poisson number of this mean is over ``most``."""
+    if mean > 30:
+        return 0.5 * math.erfc((most - mean) / math.sqrt(2 * mean))
+    return 1 - math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(min(most, 150) + 1))
 
-        for b in blocks(batches, 5_000, BLOCK_CHARS):
-            kept.append(shingle_hashes(b["text"].tolist(), n)[1])
-            if sum(map(len, kept)) >= COUNTED:
-                yield flush()
-        if kept:
-            yield flush()
 
-    counts = docs.select("text").mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], (len(h) - np.arange(len(h)))[order].astype(np.int64)
+def set_ids(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Two sums of hashes for each set; equal for equal sets."""
+    ends = np.cumsum(sizes)
+    ids = np.zeros((len(sizes), 2), np.uint64)
+    for k, salt in enumerate((1, 0x5851F42D4C957F2D)):
+        sums = np.r_[np.uint64(0), np.cumsum(mix(h * np.uint64(salt) + np.uint64(salt)))]
+        ids[:, k] = sums[ends] - sums[ends - sizes]
+    return ids
 
 
-def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, key, n, set_id (16 bytes), prefix of every row."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
+def document_sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, key, n, member, rest of every row; (member, rest) are equal for equal sets."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot, rank = common.value
         for b in blocks(batches, 5_000, BLOCK_CHARS):
-            texts = b["text"].tolist()
-            doc, h = distinct_sorted(*shingle_hashes(texts, n))
-            sizes = np.bincount(doc, minlength=len(texts))
-            starts = np.cumsum(sizes) - sizes
-            ids = np.zeros((len(texts), 2), np.uint64)
-            for k, salt in enumerate((1, 0x5851F42D4C957F2D)):
-                sums = np.r_[np.uint64(0), np.cumsum(mix(h * np.uint64(salt) + np.uint64(salt)))]
-                ids[:, k] = sums[starts + sizes] - sums[starts]
-            where = np.searchsorted(hot, h)
-            where[where == len(hot)] = 0
-            weight = np.where(hot[where] == h, rank[where], 0) if len(hot) else np.zeros(len(h), np.int64)
-            order = np.lexsort((h, weight, doc))
-            position = np.arange(len(h)) - starts[doc]
-            taken = position <= sizes[doc] * (100 - percent) // 100 + sizes[doc] // STRICT
-            prefix = h[order][taken].view(np.int64)
-            cuts = np.cumsum(np.bincount(doc[taken], minlength=len(texts)))[:-1]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64").to_numpy(object, na_value=None), "key": b["key"].to_numpy(), "n": sizes, "set_id": [x.tobytes() for x in ids],
-                "prefix": np.split(prefix, cuts) if len(texts) else [],
-            })
-
-    return docs.select("doc_id", "text", row_key().alias("key")).mapInPandas(sets, "doc_id long, key long, n long, set_id binary, prefix array<long>")
-
-
-def group_members(sets: DataFrame, percent: int) -> DataFrame:
-    """owner, vid, met (tiles of that owner that the class shares with others)."""
+            doc, h = distinct_sorted(*shingle_hashes(b["text"].tolist(), n))
+            sizes = np.bincount(doc, minlength=len(b))
+            ids = set_ids(sizes, h)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"].to_numpy(), "n": sizes, "member": ids[:, 0].astype(np.int64), "rest": ids[:, 1].astype(np.int64)})
+
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInPandas(sets, "doc_id long, key long, n long, member long, rest long")
+
+
+def tile_keys(sizes: np.ndarray, doc: np.ndarray, h: np.ndarray, percent: int, bands: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, tile) of all tiles of sets given by (doc, h), sorted."""
+    tops, parts, spare = bands
+    own = np.searchsorted(tops, sizes)
+    below = np.where((own > 0) & (percent * sizes <= 100 * tops[own - 1]), own - 1, -1)
+    content, starts, out = mix(h + np.uint64(0x632BE59BD9B4E019)), np.cumsum(sizes) - sizes, []
+    for band in (own, below):
+        used = (sizes > 0) & (band >= 0) & (parts[band] > 0)
+        at = used[doc]
+        d, x = doc[at], h[at]
+        if not len(d):
+            continue
+        part = ((x >> np.uint64(32)) * parts[band[d]]) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])])
+        name = mix(band[d[first]].astype(np.uint64) << np.uint64(40) | part[first])
+        out.append((d[first], mix(np.add.reduceat(content[at], first) + name)))
+        empty = parts[band].astype(np.int64) - np.bincount(d[first], minlength=len(sizes))
+        sparse = used & (empty > spare[band])
+        head = sparse[doc] & (np.arange(len(h)) - starts[doc] <= sizes[doc] - -(-percent * sizes[doc] // 100))
+        out.append((doc[head], mix(h[head] + mix((band[doc[head]] + 1_000).astype(np.uint64) << np.uint64(40)))))
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def group_members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """owner, member: the groups of sets that share tiles; a set is known by the first half of its id."""
+    bands = size_bands(percent)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in blocks(batches, 5_000, BLOCK_CHARS):
+            doc, h = distinct_sorted(*shingle_hashes(b["text"].tolist(), n))
+            sizes = np.bincount(doc, minlength=len(b))
+            ids = set_ids(sizes, h)[:, 0]
+            new = np.zeros(len(b), bool)
+            for k in np.flatnonzero(sizes):
+                new[k] = int(ids[k]) not in seen
+                seen.add(int(ids[k]))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            held, tile = tile_keys(np.where(new, sizes, 0), doc[new[doc]], h[new[doc]], percent, bands)
+            yield pd.DataFrame({"tile": tile.astype(np.int64), "member": ids[held].astype(np.int64)})
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tile, owner, first = None, None, False  # of the row before; first: it begins its tile
         for batch in batches:
             if not len(batch):
                 continue
-            t, v = batch["tile"].to_numpy(), batch["vid"].to_numpy()
+            t, v = batch["tile"].to_numpy(), batch["member"].to_numpy()
             same = np.r_[tile is not None and t[0] == tile, t[1:] == t[:-1]]
             begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(t))))
             owners = np.where(begin < 0, -1 if owner is None else owner, v[begin])
@@ -130,22 +159,19 @@ def group_members(sets: DataFrame, percent: int) -> DataFrame:
             if same[0] and first:
                 told_o, told_v = np.r_[told_o, owner], np.r_[told_v, owner]
             if len(told_o):
-                yield pd.DataFrame({"owner": told_o, "vid": told_v})
+                yield pd.DataFrame({"owner": told_o, "member": told_v})
             tile, owner, first = t[-1], owners[-1], not same[-1]
 
-    band = F.length(F.bin("n")) - 1
-    low = F.expr(f"n * {percent} < 100 * shiftleft(1L, length(bin(n)) - 1)")
-    keys = sets.select("vid", F.explode("prefix").alias("key"), F.when(low, F.array(band, band - 1)).otherwise(F.array(band)).alias("bands"))
-    tiles = keys.select("vid", F.explode("bands").alias("band"), "key").select("vid", F.xxhash64("key", "band").alias("tile"))
-    dealt = tiles.repartition("tile").sortWithinPartitions("tile", F.xxhash64("vid"), "vid")
-    return dealt.mapInPandas(own, "owner long, vid long").groupBy("owner", "vid").agg(F.count("*").alias("met"))
+    tiles = docs.select("text").mapInPandas(keys, "tile long, member long")
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile", F.xxhash64("member"), "member")
+    return dealt.mapInPandas(own, "owner long, member long").distinct()
 
 
 def merged_groups(members: DataFrame) -> DataFrame:
-    """The same rows with fewer owners: each group joins that of the first owner of its own owner."""
+    """The same members with fewer owners: each group joins that of the first owner of its own owner."""
     place = F.struct(F.xxhash64("owner"), "owner")
-    first = members.groupBy(F.col("vid").alias("owner")).agg(F.min(place).alias("first")).select("owner", F.col("first.owner").alias("first"))
-    return members.join(first, "owner").groupBy(F.col("first").alias("owner"), "vid").agg(F.sum("met").alias("met"))
+    first = members.groupBy(F.col("member").alias("owner")).agg(F.min(place).alias("first")).select("owner", F.col("first.owner").alias("first"))
+    return members.join(first, "owner").select(F.col("first").alias("owner"), "member").distinct()
 
 
 def small(df: DataFrame, values: Column) -> DataFrame:
@@ -153,15 +179,13 @@ def small(df: DataFrame, values: Column) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(values)).first()[0] or 0) <= BROADCAST_VALUES else df
 
 
-def deals(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def deals(members: DataFrame, sets: DataFrame) -> DataFrame:
     """vid, n_copies, owner, low, high, block, earlier: the tasks that a class goes to.
 
     (low, high) are the pair of blocks held against each other, ``block`` is the class's own, ``earlier`` are the
     owners of its groups below ``owner``.
     """
-    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / STRICT)
-    enough = members.groupBy("vid").agg(F.sum("met").alias("met")).join(sets.select("vid", "n", "n_copies"), "vid").where(F.col("met") >= need)
-    left = stage(members.select("owner", "vid").join(enough.select("vid", "n", "n_copies"), "vid"), "join-members")
+    left = stage(members.join(sets.select("member", "vid", "n", "n_copies"), "member").drop("member"), "join-members")
     groups = left.groupBy("owner").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
     groups = groups.select("owner", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
     kept = stage(left.join(groups, "owner"), "join-groups")
@@ -272,10 +296,10 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
         if kept is not None and len(kept) > 1:
             yield resolve(kept, percent)
 
-    members = stage(group_members(sets, percent), "join-tiles")
+    members = stage(group_members(docs, n, percent), "join-tiles")
     for _ in range(ROUNDS):
         members = stage(merged_groups(members), "join-merged")
-    tasks = stage(deals(members, sets, percent), "join-deals")
+    tasks = stage(deals(members, sets), "join-deals")
     wanted = tasks.select("vid").distinct().join(sets.select("vid", "doc"), "vid")
     rows = shingle_arrays(docs, wanted, n).join(small(tasks, F.size("earlier") + 6), "vid")
     dealt = rows.repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
@@ -284,21 +308,19 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
 
 def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """row, n_shingles, component (its least row), n_copies, n_links of every row; a row is (no_id, doc_id, key), so null ids come last."""
-    wide = stage(document_sets(docs, n, percent), "join-documents")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    classes = wide.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min(row).alias("doc"), F.first("prefix").alias("prefix"), F.count("*").alias("n_copies"))
+    rows = stage(document_sets(docs, n).select(row.alias("row"), F.col("n").alias("n_shingles"), "member", "rest"), "join-rows")
+    classes = rows.where("n_shingles > 0").groupBy("member", "rest", F.col("n_shingles").alias("n")).agg(F.min("row").alias("doc"), F.count("*").alias("n_copies"))
     sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()), "join-classes")
-    rows = stage(wide.select(row.alias("row"), F.col("n").alias("n_shingles"), "set_id"), "join-rows")
-    discard(wide)
     found = class_links(docs, sets, n, percent)
     comps = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("v", "vid")
     links = found.where("b is null").groupBy(F.col("a").alias("vid")).agg(F.sum("links").alias("links"))
 
-    of_set = sets.select("vid", "set_id", "doc", "n_copies").join(comps, "vid", "left").join(links, "vid", "left")
-    of_set = of_set.select("set_id", "doc", "n_copies", F.coalesce("root", "vid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    of_set = sets.select("vid", "member", "rest", "n", "doc", "n_copies").join(comps, "vid", "left").join(links, "vid", "left")
+    of_set = of_set.select("member", "rest", F.col("n").alias("n_shingles"), "doc", "n_copies", F.coalesce("root", "vid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     least = of_set.groupBy("comp").agg(F.min("doc").alias("component"))
-    named = of_set.join(least, "comp").select("set_id", "component", "n_copies", "n_links")
-    linked = rows.where("n_shingles > 0").join(named, "set_id").select("row", "n_shingles", "component", "n_copies", "n_links")
+    named = of_set.join(least, "comp").select("member", "rest", "n_shingles", "component", "n_copies", "n_links")
+    linked = rows.where("n_shingles > 0").join(named, ["member", "rest", "n_shingles"]).select("row", "n_shingles", "component", "n_copies", "n_links")
     alone = rows.where("n_shingles = 0").select("row", "n_shingles", F.col("row").alias("component"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"))
     return linked.unionByName(alone)
 
