@@ -147,7 +147,7 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     doc_id, source, words, ordinal, n, size, nth, copy = free_names(docs, "d", "s", "n", "o", "copies", "size", "ordinal", "copy")
     sizes = stage(measured(docs), "mix-sizes")
     given = copies(sizes, stage(source_targets(sizes, weights, share), "mix-targets")).where("copies > 0")
-    given = given.toDF(doc_id, source, words, ordinal, n)
+    given = given.toDF(doc_id, ordinal, source, words, n)
     numbered = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
     numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("doc_id")))
     same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(words)) & (F.col(nth) == F.col(ordinal))
