@@ -129,6 +129,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are predicted to be good, with all columns of ``docs`` as they are, whatever their names."""
+    outer = free_names(docs, *[f"{i}" for i in range(len(docs.columns))])
+    others = [(c, o) for c, o in zip(docs.columns, outer, strict=True) if c not in ("doc_id", "text")]
+    renamed = docs.select("doc_id", "text", *[docs[c].alias(o) for c, o in others])
+    good = score_quality(renamed, labels, label, threshold).where("predicted = 1")
+    back = dict(others)
+    return good.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
