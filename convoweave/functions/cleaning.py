@@ -48,15 +48,32 @@ def strip_wrappers(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    """Runs of blanks and of newlines shrink and lines are trimmed, outside fenced blocks."""
+    """Runs of blanks and of newlines shrink and lines are trimmed, outside fenced blocks.
+
+    The text is cut at its fenced blocks; no character stands in for them, so any character may be in the text. A line
+    that goes on after a block is trimmed at its outer ends only.
+    """
     fence = r"(?s)```.*?```"
     blocks = F.regexp_extract_all(text, F.lit(fence), F.lit(0))
-    masked = F.regexp_replace(text, fence, "\u0000")
-    masked = F.regexp_replace(masked, r"[ \t]{2,}", " ")
-    masked = F.regexp_replace(masked, r"\n{3,}", "\n\n")
-    masked = F.regexp_replace(masked, r"(?dm)^[ \t]+|[ \t]+$", "")
-    parts = F.zip_with(F.split(masked, "\u0000"), blocks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    return F.regexp_replace(F.array_join(parts, ""), r"(?U)^\s+|\s+\z", "")
+
+    def shrink(x: Column, i: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+        x = F.regexp_replace(F.regexp_replace(x, r"(?d)\n[ \t]+", "\n"), r"(?d)[ \t]+\n", "\n")
+        x = F.when(i == 0, F.regexp_replace(x, r"\A[ \t]+", "")).otherwise(x)
+        return F.when(i == F.size(blocks), F.regexp_replace(x, r"[ \t]+\z", "")).otherwise(x)
+
+    parts = F.zip_with(F.transform(F.split(text, fence, -1), shrink), blocks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    return F.regexp_replace(F.array_join(parts, ""), r"(?U)\A\s+|\s+\z", "")
+
+
+def not_blank(text: Column) -> Column:
+    """Whether a message has anything but white space; null has not."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)\s+", ""), F.lit("")) != ""
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 @F.pandas_udf(T.StringType())
@@ -85,13 +102,8 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), ""))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two word sets; 0 if one is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
 def parse_time(text: Column) -> Column:
     """ISO text, epoch seconds, or epoch milliseconds beyond 1e12; null if it is none of them."""
     number = text.try_cast("double")
-    seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    return F.coalesce(F.timestamp_seconds(seconds), F.try_to_timestamp(text))
+    micros = F.round(F.when(number > 1e12, number * 1e3).otherwise(number * 1e6)).try_cast("bigint")
+    return F.coalesce(F.timestamp_micros(micros), F.try_to_timestamp(text))

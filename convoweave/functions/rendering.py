@@ -50,3 +50,19 @@ def duration_label(seconds: Column) -> Column:
 
 def bar(count: Column, most: Column, width: int) -> Column:
     return F.repeat(F.lit("#"), F.floor(count / most * width).cast("int"))
+
+
+def seconds_label(seconds: float) -> str:
+    """``duration_label`` for a number."""
+    if seconds < 60:
+        return f"{seconds:.1f}s"
+    return f"{int(seconds // 60)}m {int(seconds % 60)}s" if seconds < 3600 else f"{int(seconds // 3600)}h {int(seconds % 3600 // 60)}m"
+
+
+def size_label(size: int) -> str:
+    return f"{size / 1024:.1f} KB" if size < 1024 * 1024 else f"{size / 1024 / 1024:.1f} MB"
+
+
+def size(n: Column) -> Column:
+    """``size_label`` for a column."""
+    return F.when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / 1024 / 1024, 1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,6 @@ from convoweave.shared import stage
 
 # The weights of the pair rules.
 TAG_FACTOR, TEMPORAL_FACTOR, TEMPORAL_FLOOR, WINDOW_DAYS, SEMANTIC_MIN = 1.5, 0.5, 0.1, 7, 0.3
-STAGES = ("shared_tags", "shared_concepts", "temporal_proximity", "shared_people", "semantic_similarity")
 
 
 def topk(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -93,13 +93,13 @@ def log_degree(log: DataFrame) -> DataFrame:
     return both_ways(log).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6, cut: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6, cut: int = 10, otherwise: Callable[[], DataFrame] | None = None) -> DataFrame:
     """(id, rank) by weighted power iteration over undirected edges; dangling mass is spread evenly.
 
     Stops after ``rounds`` or when the change is under ``tolerance`` times the number of nodes (None: never).
-    Every ``cut`` rounds the ranks are written to the shared folder.
+    Every ``cut`` rounds the ranks are written to the shared folder. If they have not settled, ``otherwise`` gives the result.
     """
-    n = nodes.count()
+    n, done = max(1, nodes.count()), tolerance is None
     links = both_ways(edges, "weight")
     out = links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"))
     links = stage(links.join(out.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-links")
@@ -109,14 +109,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float
         sent = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("total").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = (
-            ranks.join(sent, ranks["id"] == sent["dst"], "left")
-            .join(F.broadcast(lost))  # one row
+            ranks.withColumn("one", F.lit(1)).join(sent, ranks["id"] == sent["dst"], "left")
+            .join(F.broadcast(lost.withColumn("one", F.lit(1))), "one")
             .select("id", "total", "rank", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("new"))
         )
         if tolerance is not None or k % cut == 0:
             new = stage(new, "rank-round")
-        done = tolerance is not None and (new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0) < n * tolerance
+        done = tolerance is None or (new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0) < n * tolerance
         ranks = new.select("id", "total", F.col("new").alias("rank"))
-        if done:
+        if done and tolerance is not None:
             break
-    return ranks.select("id", "rank")
+    return ranks.select("id", "rank") if done or otherwise is None else otherwise()

@@ -16,10 +16,34 @@ def direct(edges: DataFrame) -> DataFrame:
     return both_ways(edges, "weight", "relationship").select("src", "dst", F.col("weight").alias("score"), "relationship")
 
 
-def indirect(term_edges: DataFrame) -> DataFrame:
-    """Two hops over a shared term of (id, term, weight): each path adds 0.3 times both weights."""
+def indirect(term_edges: DataFrame, shared: bool = False) -> DataFrame:
+    """Two hops over a shared term of (id, term, weight): each path adds 0.3 times both weights; ``shared`` lists the terms."""
     a, b = (term_edges.select(F.col("id").alias(x), "term", F.col("weight").alias(f"w_{x}")) for x in ("src", "dst"))
-    return a.join(b, "term").where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(INDIRECT * F.col("w_src") * F.col("w_dst")), 6).alias("score"), F.count("*").alias("paths"))
+    terms = [F.array_join(F.array_sort(F.collect_list("term")), ",").alias("shared")] if shared else []
+    return a.join(b, "term").where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(INDIRECT * F.col("w_src") * F.col("w_dst")), 6).alias("score"), F.count("*").alias("paths"), *terms)
+
+
+def concept_links(concepts: DataFrame, nodes: DataFrame, k: int = CONCEPTS) -> DataFrame:
+    """(conv_id, term, score, rank) of (conv_id, term): importance times a boost by occurrences; unknown terms score 0.
+
+    ``nodes``: (term, importance, n).
+    """
+    score = F.round(F.coalesce("importance", F.lit(0)) * (1 + BOOST * F.coalesce("n", F.lit(0))), 6)
+    return topk(concepts.join(nodes, "term", "left").select("conv_id", "term", score.alias("score")), ["conv_id"], [F.desc("score"), F.col("term")], k)
+
+
+def metadata(links: DataFrame) -> DataFrame:
+    """(conv_id, link_scores) of (conv_id, rank, title, strength): a map by title; of equal titles the last one stays."""
+    one = links.groupBy("conv_id", "title").agg(F.max_by("strength", "rank").alias("strength"))
+    return one.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("title", "strength"))).alias("link_scores"))
+
+
+def leaders(conv: DataFrame, links: DataFrame, k: int = 5) -> DataFrame:
+    """(conv_id, related, backlinks) of the conversations with the most links in both directions."""
+    out = links.groupBy(F.col("src").alias("conv_id")).agg(F.count("*").alias("related"))
+    back = links.groupBy(F.col("dst").alias("conv_id")).agg(F.count("*").alias("backlinks"))
+    both = conv.select("conv_id").join(out, "conv_id", "left").join(back, "conv_id", "left").select("conv_id", F.coalesce("related", F.lit(0)).alias("related"), F.coalesce("backlinks", F.lit(0)).alias("backlinks"))
+    return both.orderBy((F.col("related") + F.col("backlinks")).desc(), "conv_id").limit(k)
 
 
 def candidates(edges: DataFrame, term_edges: DataFrame) -> DataFrame:

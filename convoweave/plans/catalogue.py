@@ -11,6 +11,8 @@ from convoweave.functions import rendering as R
 from convoweave.operators import graph as G
 from convoweave.operators import linking as L
 from convoweave.operators.components import connected_components
+from convoweave.operators.pages import weekday_counts, with_bar
+from convoweave.sources import validation as V
 
 CATEGORIES = ("technical", "business", "learning", "creative", "personal")
 _QUERIES: dict = {}
@@ -52,6 +54,14 @@ def conv(spark, d) -> DataFrame:
     )
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Frames of one row each side by side, joined on a constant key."""
+    out = parts[0].withColumn("one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p.withColumn("one", F.lit(1))), "one")
+    return out.drop("one")
+
+
 def word_counts(spark, d) -> DataFrame:
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), F.lit(0)))
     return table(spark, d, "conversations").select("conv_id", words.alias("tag")).groupBy("conv_id", "tag").agg(F.count("*").alias("n"))
@@ -134,49 +144,38 @@ _STEPS = {
     "clean_code_fences": (C.normalize_fences, r"regexp_replace({x}, '(?s)```(?:[\w+-]*\n)?\s*(.*?)\s*```', '```' || chr(10) || '\1' || chr(10) || '```', 'g')"),
     "clean_markers": (C.strip_markers, r"regexp_replace({x}, '(?i)\[(?:INST|/INST|SYS|/SYS|CLAUDE|HUMAN)\]', '', 'g')"),
     "clean_xml_wrappers": (C.strip_wrappers, r"regexp_replace({x}, '(?i)</?(?:response|reply|answer|output|result)[^>]*>', '', 'g')"),
-    "clean_whitespace": (C.normalize_whitespace, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')"),
+    "clean_whitespace": (C.normalize_whitespace, r"regexp_replace(list_transform([struct_pack(p := string_split_regex({x}, '(?s)```.*?```'), b := regexp_extract_all({x}, '(?s)```.*?```'))], lambda s: array_to_string(list_transform(range(1, len(s.p) + 1), lambda i: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s.p[i], '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), CASE WHEN i = 1 THEN '^[ \t]+' ELSE '\A\z\z' END, ''), CASE WHEN i = len(s.p) THEN '[ \t]+$' ELSE '\A\z\z' END, '') || coalesce(s.b[i], '')), ''))[1], '^\s+|\s+$', '', 'g')"),
     "clean_unicode": (lambda x: C.normalize_unicode(x), r"regexp_replace(regexp_replace(nfc_normalize({x}), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g'), '\r\n?', chr(10), 'g')"),
 }
 
 
-_UNFENCED = _NOISE.replace("' code '", "'code'")
-
-
-def _clean_query(step, noise=_NOISE):
-    return lambda s, d: table(s, d, "conversations").select("conv_id", "turn", step(F.expr(noise.format(string="STRING"))).alias("cleaned"))
+def _clean_query(step):
+    return lambda s, d: table(s, d, "conversations").select("conv_id", "turn", step(F.expr(_NOISE.format(string="STRING"))).alias("cleaned"))
 
 
 _whole = _NOISE.format(string="VARCHAR")
 for _name, (_step, _sql) in _STEPS.items():
-    _noise = _UNFENCED if _name == "clean_whitespace" else _NOISE
-    query(_name, f"SELECT conv_id, turn, {_sql.format(x=_noise.format(string='VARCHAR'))} AS cleaned FROM conversations")(_clean_query(_step, _noise))
+    query(_name, f"SELECT conv_id, turn, {_sql.format(x=_NOISE.format(string='VARCHAR'))} AS cleaned FROM conversations")(_clean_query(_step))
     _whole = _sql.format(x=_whole)
 query("clean_message", f"SELECT conv_id, turn, {_whole} AS cleaned FROM conversations")(_clean_query(C.clean_message))
 query("clean_title", r"""SELECT conv_id, turn, CASE WHEN trim(regexp_replace(x, '\s+', ' ', 'g')) = '' THEN 'Untitled Conversation' ELSE trim(regexp_replace(x, '\s+', ' ', 'g')) END AS title
-FROM (SELECT conv_id, turn, regexp_replace(nfc_normalize(CASE WHEN turn = 0 THEN '  ' || chr(10) ELSE ' ' || left(text, 40) || chr(9) || ' ' || chr(1) || chr(10) END), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g') AS x FROM conversations)""")(
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", C.clean_title(F.expr("CASE WHEN turn = 0 THEN concat('  ', chr(10)) ELSE concat(' ', left(text, 40), chr(9), ' ', chr(1), chr(10)) END")).alias("title")))
-query("drop_blank_messages", "SELECT conv_id, turn, text FROM conversations WHERE trim(CASE WHEN turn % 3 = 1 THEN '  ' ELSE text END) <> ''")(
-    lambda s, d: table(s, d, "conversations").where("trim(CASE WHEN turn % 3 = 1 THEN '  ' ELSE text END) <> ''").select("conv_id", "turn", "text"))
-query("validate_messages", """SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'message has no role' ELSE 'message has no content' END AS error
-FROM (SELECT conv_id, turn, nullif(role, 'system') AS role, CASE WHEN turn <> 2 THEN text END AS text FROM conversations) WHERE coalesce(role, '') = '' OR text IS NULL""")(
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.expr("nullif(role, 'system')").alias("role"), F.expr("CASE WHEN turn <> 2 THEN text END").alias("text"))
-    .where("coalesce(role, '') = '' OR text IS NULL").select("conv_id", "turn", F.expr("CASE WHEN coalesce(role, '') = '' THEN 'message has no role' ELSE 'message has no content' END").alias("error")))
+FROM (SELECT conv_id, turn, regexp_replace(nfc_normalize(CASE WHEN turn = 0 THEN '  ' || chr(10) ELSE ' ' || text || chr(9) || ' ' || chr(1) || chr(10) END), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g') AS x FROM conversations)""")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", C.clean_title(F.expr("CASE WHEN turn = 0 THEN concat('  ', chr(10)) ELSE concat(' ', text, chr(9), ' ', chr(1), chr(10)) END")).alias("title")))
+query("drop_blank_messages", r"SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 1 AND regexp_matches(text, '\S')")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", "text", F.expr("CASE WHEN turn % 3 = 1 THEN ' \n\t ' ELSE text END").alias("x")).where(C.not_blank(F.col("x"))).drop("x"))
+query("validate_messages", "SELECT conv_id, turn, 'message has no role' AS error FROM conversations WHERE role = 'system' UNION ALL SELECT conv_id, turn, 'message has no content' FROM conversations WHERE role <> 'system' AND turn = 2")(
+    lambda s, d: V.message_errors(table(s, d, "conversations").select("conv_id", "turn", F.expr("nullif(role, 'system')").alias("role"), F.expr("CASE WHEN turn <> 2 THEN text END").alias("text"))))
 
 # Rendering --------------------------------------------------------------------------------------------------------
 
 query("wikilink_format", f"WITH {CONV} SELECT conv_id, '[[' || trim(translate('#' || title || '|^', '[]|#^\\', '')) || ']]' AS link, CASE WHEN trim(translate(category, '[]|#^\\', '')) <> '' THEN '[[' || trim(translate(title, '[]|#^\\', '')) || '|' || category || ']]' END AS aliased FROM conv")(
     lambda s, d: conv(s, d).select("conv_id", R.wikilink(F.concat(F.lit("#"), "title", F.lit("|^"))).alias("link"), R.wikilink(F.col("title"), F.col("category")).alias("aliased")))
-query("sanitize_filename", r"""WITH x AS (SELECT doc_id, trim(translate(left(text, 260) || '?.', '<>:"/\|?*', '---------'), '. ') AS t FROM documents),
+query("sanitize_filename", r"""WITH x AS (SELECT doc_id, trim(translate(text || '?.', '<>:"/\|?*', '---------'), '. ') AS t FROM documents),
 y AS (SELECT doc_id, CASE WHEN length(t) > 200 THEN coalesce(nullif(regexp_extract(left(t, 200), '(?s)^(.*) [^ ]*$', 1), ''), left(t, 200)) ELSE t END AS t FROM x)
 SELECT doc_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS filename FROM y""")(
-    lambda s, d: table(s, d, "documents").select("doc_id", R.sanitize_filename(F.concat(F.left("text", F.lit(260)), F.lit("?."))).alias("filename")))
-query("escape_yaml", r"""SELECT doc_id, replace(replace(replace(replace('a\"b' || left(text, 120) || chr(13), '\', '\\'), '"', '\"'), chr(10), ' '), chr(13), '') AS yaml FROM documents""")(
-    lambda s, d: table(s, d, "documents").select("doc_id", R.escape_yaml(F.concat(F.lit('a\\"b'), F.left("text", F.lit(120)), F.lit("\r"))).alias("yaml")))
-# The whole texts, without twins.
-query("clean_title_whole", None)(
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", C.clean_title(F.col("text")).alias("title")))
-query("sanitize_filename_whole", None)(lambda s, d: table(s, d, "documents").select("doc_id", R.sanitize_filename(F.col("text")).alias("filename")))
-query("escape_yaml_whole", None)(lambda s, d: table(s, d, "documents").select("doc_id", R.escape_yaml(F.col("text")).alias("yaml")))
+    lambda s, d: table(s, d, "documents").select("doc_id", R.sanitize_filename(F.concat("text", F.lit("?."))).alias("filename")))
+query("escape_yaml", r"""SELECT doc_id, replace(replace(replace(replace('a\"b' || text || chr(13), '\', '\\'), '"', '\"'), chr(10), ' '), chr(13), '') AS yaml FROM documents""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", R.escape_yaml(F.concat(F.lit('a\\"b'), "text", F.lit("\r"))).alias("yaml")))
 query("callout_render", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN '> [!question]+ Human' ELSE '> [!info]+ Assistant' END || chr(10) ||
 array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), chr(10)) AS block FROM conversations""")(
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", R.callout(C.normalize_role(F.col("role")), F.col("text")).alias("block")))
@@ -249,7 +248,8 @@ query("node_type_counts", f"WITH {CONV}, {TAGS} SELECT 'conversation' AS node_ty
     lambda s, d: conv(s, d).agg(F.count("*").alias("n")).select(F.lit("conversation").alias("node_type"), "n").unionByName(tags(s, d).agg(F.count_distinct("tag").alias("n")).select(F.lit("concept").alias("node_type"), "n")))
 query("log_degree", f"{GRAPH} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM stages UNION ALL SELECT dst FROM stages) GROUP BY node")(lambda s, d: G.log_degree(log(s, d)))
 query("graph_summary", f"{GRAPH} SELECT (SELECT count(*) FROM conv) AS nodes, (SELECT count(*) FROM stages) AS logged_edges, count(*) AS edges, round(sum(weight), 4) AS total_weight FROM edges")(
-    lambda s, d: edges(s, d).agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 4).alias("total_weight")).join(conv(s, d).agg(F.count("*").alias("nodes"))).join(log(s, d).agg(F.count("*").alias("logged_edges"))))
+    lambda s, d: (lambda e: one_row(e.agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 4).alias("total_weight"), F.sum("logged").alias("logged_edges")), conv(s, d).agg(F.count("*").alias("nodes"))))(
+        log(s, d).groupBy("src", "dst").agg(F.round(F.sum("added"), 6).alias("weight"), F.count("*").alias("logged"))))
 
 _ROUNDS = 5
 _rank_sql = f"{GRAPH}, tot AS (SELECT src, sum(weight) AS t FROM ways GROUP BY src), lk AS (SELECT src, dst, weight / t AS share FROM ways JOIN tot USING (src)), nn AS (SELECT count(*) AS n FROM conv), r0 AS (SELECT conv_id AS id, 1.0::DOUBLE / n AS rank FROM conv, nn)"
@@ -306,26 +306,28 @@ query("overview_stats", f"WITH {CONV} SELECT count(*) AS conversations, sum(n_me
     lambda s, d: conv(s, d).agg(F.count("*").alias("conversations"), F.sum("n_messages").alias("messages"), F.round(F.avg("n_messages"), 1).alias("average"), F.concat(F.date_format(F.min("created_at"), "yyyy-MM-dd"), F.lit(" to "), F.date_format(F.max("created_at"), "yyyy-MM-dd")).alias("date_range")))
 query("top_months", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, month LIMIT 10")(
     lambda s, d: table(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "month").limit(10))
-query("weekday_activity", "WITH x AS (SELECT isodow(ts) - 1 AS weekday, count(*) AS c FROM events WHERE isodow(ts) <> 7 GROUP BY 1), y AS (SELECT r.k AS weekday, coalesce(c, 0) AS n FROM range(7) r(k) LEFT JOIN x ON x.weekday = r.k) SELECT weekday::INT AS weekday, n, repeat('#', floor(n / max(n) OVER () * 20)::INT) AS bar FROM y")(
-    lambda s, d: s.range(7).select(F.col("id").cast("int").alias("weekday")).join(table(s, d, "events").groupBy(F.weekday("ts").alias("weekday")).agg(F.count("*").alias("c")).where("weekday <> 6"), "weekday", "left").select("weekday", F.coalesce("c", F.lit(0)).alias("n")).withColumn("bar", R.bar(F.col("n"), F.max("n").over(Window.partitionBy(F.lit(1))), 20)))
-query("distinct_counts", f"WITH {CONV}, {TAGS} SELECT count(DISTINCT category) AS categories, count(DISTINCT tag) AS concepts, max_by(category, conv_id) AS last_category FROM tags JOIN conv USING (conv_id)")(
-    lambda s, d: tags(s, d).select("conv_id", "tag").join(conv(s, d).select("conv_id", "category"), "conv_id").agg(F.count_distinct("category").alias("categories"), F.count_distinct("tag").alias("concepts"), F.max_by("category", "conv_id").alias("last_category")))
+query("weekday_activity", "SELECT weekday::INT AS weekday, n, repeat('#', floor(n / max(n) OVER () * 20)::INT) AS bar FROM (SELECT r.k AS weekday, (SELECT count(*) FROM events WHERE isodow(ts) - 1 = r.k) AS n FROM range(7) r(k))")(
+    lambda s, d: with_bar(weekday_counts(table(s, d, "events"), "ts"), 20))
+query("distinct_counts", f"WITH {CONV}, {TAGS} SELECT (SELECT count(DISTINCT category) FROM conv) AS categories, (SELECT count(DISTINCT tag) FROM tags) AS concepts, (SELECT category FROM conv GROUP BY category ORDER BY count(*) DESC, category LIMIT 1) AS most_active_category")(
+    lambda s, d: one_row(
+        conv(s, d).groupBy("category").agg(F.count("*").alias("n")).agg(F.count("*").alias("categories"), F.min_by("category", F.struct(-F.col("n"), "category")).alias("most_active_category")),
+        tags(s, d).agg(F.count_distinct("tag").alias("concepts"))))
 
 # Vault statistics and declarative listings ------------------------------------------------------------------------
 
 query("text_stats", r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(text, '#([\w/]+)')) AS tags, len(regexp_extract_all(text, '\[\[(.*?)\]\]')) AS links FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint").alias("words"), F.regexp_count("text", F.lit(r"#([\w/]+)")).cast("bigint").alias("tags"), F.regexp_count("text", F.lit(r"\[\[(.*?)\]\]")).cast("bigint").alias("links")))
-query("top_hashtags", r"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '#([\w/]+)', 1)) AS tag FROM documents) GROUP BY tag ORDER BY n DESC, tag LIMIT 10")(
-    lambda s, d: table(s, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"#([\w/]+)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(10))
+query("top_hashtags", r"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' #' || source || '/' || lang || ' #' || lang, '#([\w/]+)', 1)) AS tag FROM documents) GROUP BY tag ORDER BY n DESC, tag LIMIT 10")(
+    lambda s, d: table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.concat("text", F.lit(" #"), "source", F.lit("/"), "lang", F.lit(" #"), "lang"), F.lit(r"#([\w/]+)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(10))
 query("dv_recent", "SELECT event_id, ts FROM events WHERE event_type LIKE 'p%' ORDER BY ts DESC, event_id LIMIT 10")(
     lambda s, d: table(s, d, "events").where(F.col("event_type").startswith("p")).select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(10))
 query("dv_folder_counts", "SELECT event_type AS folder, count(*) AS n FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("folder")).agg(F.count("*").alias("n")))
 query("dv_month_range", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'")(
     lambda s, d: table(s, d, "orders").where("o_orderdate >= timestamp_ntz'1996-01-01' AND o_orderdate < timestamp_ntz'1996-02-01'").select("o_orderkey", "o_orderdate"))
 query("dv_last7_outlinks", f"{GRAPH}, {CAND} SELECT conv_id, count(dst) AS outlinks FROM conv LEFT JOIN links ON src = conv_id WHERE created_at >= (SELECT max(created_at) - INTERVAL 7 DAY FROM conv) GROUP BY conv_id")(
-    lambda s, d: (lambda c: c.join(F.broadcast(c.agg((F.max("created_at") - F.expr("INTERVAL '7' DAY")).alias("since")))).where("created_at >= since").join(links(s, d).select(F.col("src").alias("conv_id"), "dst"), "conv_id", "left").groupBy("conv_id").agg(F.count("dst").alias("outlinks")))(conv(s, d)))
-query("dv_month_group", "SELECT strftime(ts, '%Y-%m') AS month, max(ts) AS newest, count(*) AS n FROM events GROUP BY 1")(
-    lambda s, d: table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.max("ts").alias("newest"), F.count("*").alias("n")))
+    lambda s, d: (lambda c: c.withColumn("one", F.lit(1)).join(F.broadcast(c.agg((F.max("created_at") - F.expr("INTERVAL '7' DAY")).alias("since")).withColumn("one", F.lit(1))), "one").where("created_at >= since").join(links(s, d).select(F.col("src").alias("conv_id"), "dst"), "conv_id", "left").groupBy("conv_id").agg(F.count("dst").alias("outlinks")))(conv(s, d)))
+query("dv_month_group", "SELECT strftime(ts, '%Y-%m') AS month, max(ts) AS newest, count(*) AS n, row_number() OVER (ORDER BY max(ts) DESC) AS place FROM events GROUP BY 1")(
+    lambda s, d: table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.max("ts").alias("newest"), F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest")))))
 
 # Notes ------------------------------------------------------------------------------------------------------------
 

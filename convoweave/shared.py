@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,15 @@ def discard(df: DataFrame) -> None:
     _remove(_staged.pop(path), path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Removes the tables staged inside when it ends, but for those whose path is added to the set it gives."""
+    before, kept = set(_staged), set()
+    yield kept
+    for path in set(_staged) - before - kept:
+        _remove(_staged.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

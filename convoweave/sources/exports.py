@@ -80,7 +80,7 @@ def from_json(text: str) -> list[dict]:
             if isinstance(m, dict) and (content := content_of(m)):
                 messages.append({"role": role_of(first(m, ROLE_KEYS) or "unknown"), "content": content, "timestamp": time_of(first(m, MESSAGE_TIME_KEYS))})
         ident = first(item, ID_KEYS)
-        out.append({"conv_id": None if ident is None else str(ident), "title": str(first(item, TITLE_KEYS) or f"Conversation {k + 1}"), "created_at": time_of(first(item, TIME_KEYS)), "source_url": first(item, URL_KEYS), "messages": messages})
+        out.append({"conv_id": None if ident is None else str(ident), "title": str(first(item, TITLE_KEYS) or f"Conversation {k + 1}"), "created_at": time_of(first(item, TIME_KEYS)), "source_url": None if (url := first(item, URL_KEYS)) is None else str(url), "messages": messages})
     return out
 
 
@@ -111,28 +111,28 @@ class Tree(HTMLParser):
 
 
 def walk(node) -> Iterator[list]:
-    for x in node[2]:
-        if isinstance(x, list):
-            yield x
-            yield from walk(x)
+    """All nodes below, in order; with a stack, as pages may be nested deeper than calls can be."""
+    stack = [x for x in reversed(node[2]) if isinstance(x, list)]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [y for y in reversed(x[2]) if isinstance(y, list)]
 
 
 def text_of(node) -> str:
     parts: list[str] = []
-
-    def visit(n):
-        for x in n[2]:
-            if isinstance(x, list):
-                visit(x)
-            elif x.strip():
-                parts.append(x.strip())
-
-    visit(node)
+    stack = list(reversed(node[2]))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack += reversed(x[2])
+        elif x.strip():
+            parts.append(x.strip())
     return "\n".join(parts)
 
 
 def classes(node) -> list[str]:
-    return (node[1].get("class") or "").split()
+    return (node[1].get("class") or "").lower().split()
 
 
 def from_html(text: str, file: str) -> list[dict]:
@@ -154,7 +154,8 @@ def from_html(text: str, file: str) -> list[dict]:
                 continue
             name = " ".join(classes(n)).lower()
             role = "human" if "human" in name or "user" in name else "assistant" if "assistant" in name or "claude" in name else n[1].get("data-role")
-            messages.append({"role": role_of(role) if role else ("human", "assistant")[len(messages) % 2], "content": content, "timestamp": None})
+            at = next((x[1]["datetime"] for x in walk(n) if x[0] == "time" and x[1].get("datetime")), None)
+            messages.append({"role": role_of(role) if role else ("human", "assistant")[len(messages) % 2], "content": content, "timestamp": time_of(at) if at else None})
         if not messages:
             continue
         title = next((t for tag in ("h1", "h2", "title") for n in inner if n[0] == tag and (t := text_of(n))), None) or next((t for n in inner if "title" in classes(n) and (t := text_of(n))), None)
@@ -172,7 +173,7 @@ def parse(file: str, text: str) -> list[dict]:
             rows = from_html(text, file)
         else:
             raise ValueError("neither JSON nor HTML")
-    except ValueError as e:
+    except (ValueError, RecursionError, TypeError, AttributeError, OverflowError) as e:  # whatever is odd in a file is told in its row
         return [{"file": file, "pos": 0, "error": str(e)}]
     for k, r in enumerate(rows):
         r |= {"file": file, "pos": k, "conv_id": r["conv_id"] or hashlib.sha256(f"{file}#{k}".encode()).hexdigest()[:32], "error": None}
@@ -191,5 +192,10 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, SCHEMA)
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of a file, a folder or a pattern."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    return parsed(read_files(spark, path))

@@ -17,7 +17,7 @@ def vault_stats(files: DataFrame) -> DataFrame:
     moc = md & F.lower("name").rlike("moc|index")
     words = F.size(F.array_remove(F.split("text", r"(?U)\s+"), ""))
     return files.agg(
-        F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(md).alias("notes"), F.count_if(moc).alias("mocs"),
+        F.count("*").alias("files"), F.count_distinct(F.regexp_extract("path", r"^(.*)/", 1)).alias("folders"), F.sum("length").alias("bytes"), F.count_if(md).alias("notes"), F.count_if(moc).alias("mocs"),
         F.sum(words).alias("words"), F.sum(F.regexp_count("text", F.lit(r"(?U)#([\w/]+)"))).alias("tags"),
         F.sum(F.regexp_count("text", F.lit(r"\[\[(.*?)\]\]"))).alias("links"),
         F.min(F.when(md, F.col("modificationTime"))).alias("oldest"), F.max(F.when(md, F.col("modificationTime"))).alias("newest"),
@@ -27,3 +27,8 @@ def vault_stats(files: DataFrame) -> DataFrame:
 def vault_tags(files: DataFrame, k: int = 10) -> DataFrame:
     found = files.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)#([\w/]+)"), F.lit(1))).alias("tag"))
     return found.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(k)
+
+
+def vault_suffixes(files: DataFrame) -> DataFrame:
+    """(suffix, n) of all files."""
+    return files.groupBy("suffix").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from convoweave.plans import catalogue
+from convoweave.plans import catalogue, knowledge_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
@@ -47,4 +47,4 @@ def test_cleaning_changes_noise(spark):
 
     text = "<thinking>a\nb</thinking>x  y [INST] ```py\n  z  ```\r\n<answering>k</answering>\u0001"
     got = spark.createDataFrame([(text,)], "t string").select(C.clean_message(F.col("t"))).first()[0]
-    assert got == "x y ```\nz\n```\n\nk" or got == "x y ```\nz\n```\nk"
+    assert got == "x y ```\nz\n```\n\nk"
