@@ -37,11 +37,11 @@ CACHED_WORDS = 300_000
 
 def shape(word: str) -> str:
     out = []
-    for ch in word[:64]:
+    for ch in word:
         kind = "x" if ch.islower() else "X" if ch.isupper() else "d" if ch.isdigit() else ch
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:6])
+    return "".join(out)
 
 
 class WordCodes(dict):
