@@ -69,7 +69,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums, down = prefix_sums(data)
     n = len(data) - GRAM + 1
     h = mix((sums[GRAM:] - sums[:-GRAM]) * down[:n])
-    bits = np.uint64(int(len(data)).bit_length())
+    bits = np.uint64(32)  # the same for all blocks: what wins in a window depends on the window alone; ties go to the left
     least = sliding_min((h >> bits << bits) | np.arange(n, dtype=np.uint64), SPREAD + 1)
     marks = np.zeros(len(data) + 1, np.int8)
     long = ends - starts >= LENGTH
@@ -80,12 +80,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, at - starts[doc], h[at].view(np.int64)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
+def distinct_texts(docs: DataFrame, name: str) -> DataFrame:
     """tid, text, copies in a table bucketed by tid in the shared folder; copies are combined before the exchange."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("tid"), "text")
-    name = f"repeats_{uuid.uuid4().hex}"
     (
         texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
         .write.format("parquet").option("compression", "zstd").option("path", staging_path(spark, "texts")).bucketBy(buckets, "tid").saveAsTable(name)
@@ -214,7 +213,8 @@ def merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, keep: str = "none") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row; spans are byte ranges."""
-    texts = distinct_texts(docs)
+    spark, name = docs.sparkSession, f"repeats_{uuid.uuid4().hex}"
+    texts = distinct_texts(docs, name)
     marks = stage(repeated_anchors(texts), "repeats-anchors")
     ranges = stage(repeated_ranges(surroundings(texts, marks), keep == "first"), "repeats-ranges")
     per_text = ranges.distinct().groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
@@ -240,7 +240,9 @@ def remove_repeats(docs: DataFrame, keep: str = "none") -> DataFrame:
         judge, "tid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     )
     ids = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"))
-    return ids.join(stage(judged, "repeats-judged"), "tid").drop("tid")
+    judged = stage(judged, "repeats-judged")
+    spark.sql(f"DROP TABLE {name}")  # the entry in the catalogue; its files go with the other staged tables
+    return ids.join(judged, "tid").drop("tid")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
