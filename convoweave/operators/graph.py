@@ -53,22 +53,34 @@ def temporal_weight(days: Column) -> Column:
 
 
 def similarity_join(words: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst, weight) of word sets (id, word distinct) with Jaccard similarity of ``threshold`` or more.
+    """(src, dst, weight) of word sets (id, word) with Jaccard similarity of ``threshold`` or more.
 
-    Prefix filter: words in order of rarity; qualifying pairs meet on one of a set's first
-    ``n - ceil(threshold * n) + 1`` words, so frequent words join nothing. Verified by exact counts.
+    Words are hashed to 64 bits and equal sets joined as one. Prefix filter: words in order of rarity; qualifying pairs meet on
+    one of a set's first ``n - ceil(threshold * n) + 1`` words, so frequent words join nothing. What a pair shares of
+    both prefixes, and the places of the last of these, bound the overlap from above; only pairs within the bound are verified, by
+    exact intersection.
     """
-    words = words.distinct()
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    sized = words.join(words.groupBy("id").agg(F.count("*").alias("n")), "id").join(df, "word")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = sized.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    a, b = (prefix.select(F.col("id").alias(x), "word", F.col("n").alias(f"n_{x}")) for x in ("src", "dst"))
-    pairs = a.join(b, "word").where((F.col("src") < F.col("dst")) & (F.least("n_src", "n_dst") >= threshold * F.greatest("n_src", "n_dst") - 1e-9)).select("src", "dst", "n_src", "n_dst").distinct()
-    sets = words.groupBy("id").agg(F.collect_set("word").alias("set"))
-    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("set").alias("s")), "src").join(sets.select(F.col("id").alias("dst"), F.col("set").alias("t")), "dst")
+    hashed = words.select("id", F.xxhash64("word").alias("w")).distinct()
+    df = hashed.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"])
+    sets = hashed.join(df, "w").groupBy("id").agg(ordered.alias("set"))
+    sets = stage(sets.withColumn("n", F.size("set")).withColumn("same", F.xxhash64("set", F.lit(7))), "similar-sets")
+    classes = sets.groupBy("same", "n").agg(F.min("id").alias("id"))
+    each = sets.select("id", "same", "n").join(classes.withColumnRenamed("id", "one"), ["same", "n"]).select("id", "one")
+    one = sets.join(classes.select("id"), "id", "left_semi")
+    prefix = one.select("id", "n", F.posexplode(F.slice("set", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))).alias("at", "w"))
+    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), "w") for x in ("src", "dst"))
+    met = a.join(b, "w").where((F.col("src") < F.col("dst")) & (F.least("n_src", "n_dst") >= threshold * F.greatest("n_src", "n_dst") - 1e-9))
+    pairs = met.groupBy("src", "dst", "n_src", "n_dst").agg(F.count("*").alias("c"), F.max("at_src").alias("at_src"), F.max("at_dst").alias("at_dst"))
+    most = F.col("c") + F.least(F.col("n_src") - F.col("at_src"), F.col("n_dst") - F.col("at_dst")) - 1
+    pairs = pairs.where(most >= threshold / (1 + threshold) * (F.col("n_src") + F.col("n_dst")) - 1e-9).select("src", "dst", "n_src", "n_dst")
+    both = pairs.join(one.select(F.col("id").alias("src"), F.col("set").alias("s")), "src").join(one.select(F.col("id").alias("dst"), F.col("set").alias("t")), "dst")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.select("src", "dst", (shared / (F.col("n_src") + F.col("n_dst") - shared)).alias("w")).where(F.col("w") >= threshold).select("src", "dst", F.round("w", 6).alias("weight"))
+    found = both.select("src", "dst", (shared / (F.col("n_src") + F.col("n_dst") - shared)).alias("w")).where(F.col("w") >= threshold).select("src", "dst", F.round("w", 6).alias("weight"))
+    links = found.unionByName(classes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")))
+    x, y = (each.select(F.col("one").alias(c), F.col("id").alias(f"{c}_id")) for c in ("src", "dst"))
+    spread = links.join(x, "src").join(y, "dst").where((F.col("src") != F.col("dst")) | (F.col("src_id") < F.col("dst_id")))
+    return spread.select(F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst"), "weight")
 
 
 def edge_log(stages: list[tuple[int, str, DataFrame]]) -> DataFrame:
