@@ -44,6 +44,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
+        F.col("doc_id").isNull().alias("no_id"),
     )
 
 
@@ -138,13 +139,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
             b["range"] = below(b["h"].to_numpy(), b["id"].to_numpy(), edges) if edges else 0
             yield b
 
-    placed = rows.withColumn("doc_id", F.col("doc_id")).select("size", "text_crc32", "h", "id").mapInPandas(
-        place, "size long, text_crc32 long, h long, id long, range long"
+    placed = rows.select("size", "text_crc32", "h", "id", "no_id").mapInPandas(
+        place, "size long, text_crc32 long, h long, id long, no_id boolean, range long"
     )
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "size", "text_crc32"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "no_id", "size", "text_crc32"))
     lookup = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("range").cast("int"))
     return placed.withColumn("_n", inside).select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         "size",
         "text_crc32",
         lookup(shard_of).cast("int").alias("shard"),
