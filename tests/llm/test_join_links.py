@@ -87,3 +87,14 @@ def test_keep_one_with_clashing_names_and_an_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _id int, _least int")
     assert sorted(map(tuple, ngram_join.keep_one(docs).collect())) == [rows[1], rows[3]]
     assert ngram_join.keep_one(docs.where("false")).count() == 0
+
+
+def test_join_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    texts = families(11, [2, 5, 40, 200], 12, 4) + [" \t ", "ÉTE éte", "A b c", "x y z\x0bw"]
+    spark.createDataFrame([(k if k % 9 else 1000 + k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_links string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = ngram_join.query(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({ngram_join.SQL})").fetchall())
