@@ -100,7 +100,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold_percent: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows without those that contain a benchmark item; others that share an id with one, or have none, stay."""
     (key,) = free_names(docs, "key")
-    bad = contaminated_rows(docs, benchmark).select(F.col("key").alias(key)).distinct()
+    bad = stage(contaminated_rows(docs, benchmark).select(F.col("key").alias(key)).distinct(), "benchmark-rows")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad  # else both sides are exchanged
     return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*docs.columns)
 
 
