@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoweave.llm import decontamination, mixing, ngram_join, quality_neighbours, quality_rules, repeats, sharding, toxicity, training_order, url_filters
+from convoweave.llm import decontamination, exact_dedup, fill_in_middle, mixing, ngram_join, quality_neighbours, quality_rules, repeats, sharding, toxicity, training_order, url_filters, whitening
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_sharding": sharding,
     "op9_decontamination": decontamination,
     "op10_training_order": training_order,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_exact_dedup": exact_dedup,
+    "op13_whitening": whitening,
 }
 
 
