@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ CONTROL = r"[\p{Cc}&&[^\n\t\r]]"
 UNTITLED = "Untitled Conversation"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, however often it is used there, lambdas included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_role(role: Column) -> Column:
     low = F.lower(role)
     return F.when(low.isin(*HUMAN_ROLES), "human").when(low.isin(*ASSISTANT_ROLES), "assistant").otherwise(low)
@@ -54,16 +60,18 @@ def normalize_whitespace(text: Column) -> Column:
     that goes on after a block is trimmed at its outer ends only.
     """
     fence = r"(?s)```.*?```"
-    blocks = F.regexp_extract_all(text, F.lit(fence), F.lit(0))
 
-    def shrink(x: Column, i: Column) -> Column:
+    def shrink(part: Column, i: Column) -> Column:
+        x, block = part["outside"], part["block"]
         x = F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
         x = F.regexp_replace(F.regexp_replace(x, r"(?d)\n[ \t]+", "\n"), r"(?d)[ \t]+\n", "\n")
         x = F.when(i == 0, F.regexp_replace(x, r"\A[ \t]+", "")).otherwise(x)
-        return F.when(i == F.size(blocks), F.regexp_replace(x, r"[ \t]+\z", "")).otherwise(x)
+        return F.when(block.isNull(), F.regexp_replace(x, r"[ \t]+\z", "")).otherwise(F.concat(x, block))
 
-    parts = F.zip_with(F.transform(F.split(text, fence, -1), shrink), blocks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    return F.regexp_replace(F.array_join(parts, ""), r"(?U)\A\s+|\s+\z", "")
+    def cut(t: Column) -> Column:  # the last piece has no block behind it
+        return F.arrays_zip(F.split(t, fence, -1).alias("outside"), F.regexp_extract_all(t, F.lit(fence), F.lit(0)).alias("block"))
+
+    return F.regexp_replace(F.array_join(F.transform(bound(text, cut), shrink), ""), r"(?U)\A\s+|\s+\z", "")
 
 
 def not_blank(text: Column) -> Column:
@@ -76,13 +84,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+NON_ASCII = r"[^\x00-\x7F]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def compose(text: Column) -> Column:
+    """The text in NFC. Only texts beyond ASCII are sent to Python; the others go as nulls and stay as they are."""
+    return F.coalesce(_nfc(F.when(text.rlike(NON_ASCII), text)), text)
+
+
 def normalize_unicode(text: Column, nfc: bool = True) -> Column:
-    composed = F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text) if nfc else text
+    composed = compose(text) if nfc else text
     return F.regexp_replace(F.regexp_replace(composed, CONTROL, ""), r"\r\n?", "\n")
 
 
@@ -93,7 +109,7 @@ def clean_message(text: Column, nfc: bool = True) -> Column:
 
 
 def clean_title(title: Column, nfc: bool = True) -> Column:
-    composed = F.when(title.rlike(r"[^\x00-\x7F]"), _nfc(title)).otherwise(title) if nfc else title
+    composed = compose(title) if nfc else title
     flat = F.trim(F.regexp_replace(F.regexp_replace(composed, r"[\p{Cc}&&[^\n\t]]", ""), r"(?U)\s+", " "))
     return F.when(F.coalesce(flat, F.lit("")) == "", UNTITLED).otherwise(flat)
 

@@ -47,4 +47,40 @@ def test_cleaning_changes_noise(spark):
 
     text = "<thinking>a\nb</thinking>x  y [INST] ```py\n  z  ```\r\n<answering>k</answering>\u0001"
     got = spark.createDataFrame([(text,)], "t string").select(C.clean_message(F.col("t"))).first()[0]
-    assert got == "x y ```\nz\n```\n\nk"
+    assert got == "x y ```\nz\n```\nk"
+
+
+def test_many_fences_are_cleaned_in_one_pass(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from convoweave.functions import cleaning as C
+
+    text = "".join(f"  a{k}  b \n\n\n\n```py\n  c {k}\n```  " for k in range(10_000))
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(C.clean_message(F.col("t"))).first()[0]
+    assert time.time() - start < 20
+    assert got.startswith("a0 b\n\n```\nc 0\n``` a1 b\n\n```\nc 1\n```") and got.endswith("a9999 b\n\n```\nc 9999\n```")
+
+
+def test_only_non_ascii_texts_are_composed_in_python(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from convoweave.functions import cleaning as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counting(s: pd.Series) -> pd.Series:
+        seen.add(int(s.notna().sum()))
+        return s
+
+    before, C._nfc = C._nfc, counting
+    try:
+        rows = [(f"plain {k}",) for k in range(100)] + [("caf\u00e9",), (None,)]
+        out = spark.createDataFrame(rows, "t string").select(C.compose(F.col("t")).alias("t")).collect()
+    finally:
+        C._nfc = before
+    assert [r["t"] for r in out] == [t for (t,) in rows] and seen.value == 1
