@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoweave.shared import stage
+from convoweave.shared import discard, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stage(ordered, "components")
     state = _state(current)
     while state[0]:
-        current = stage(_star(_star(current, True), False), "components")
+        before_it, current = current, stage(_star(_star(current, True), False), "components")
+        discard(before_it)
         state, before = _state(current), state
         if state == before:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convoweave.shared import stage
+from convoweave.shared import discard, stage
 
 # The weights of the pair rules.
 TAG_FACTOR, TEMPORAL_FACTOR, TEMPORAL_FLOOR, WINDOW_DAYS, SEMANTIC_MIN = 1.5, 0.5, 0.1, 7, 0.3
@@ -111,7 +111,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float
     Stops after ``rounds`` or when the change is under ``tolerance`` times the number of nodes (None: never).
     Every ``cut`` rounds the ranks are written to the shared folder. If they have not settled, ``otherwise`` gives the result.
     """
-    n, done = max(1, nodes.count()), tolerance is None
+    n, done, staged = max(1, nodes.count()), tolerance is None, None
     links = both_ways(edges, "weight")
     out = links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"))
     links = stage(links.join(out.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-links")
@@ -126,7 +126,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float
             .select("id", "total", "rank", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("new"))
         )
         if tolerance is not None or k % cut == 0:
-            new = stage(new, "rank-round")
+            new, before = stage(new, "rank-round"), staged
+            staged = new
+            if before is not None:
+                discard(before)
         done = tolerance is None or (new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0) < n * tolerance
         ranks = new.select("id", "total", F.col("new").alias("rank"))
         if done and tolerance is not None:

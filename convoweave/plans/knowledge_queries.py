@@ -13,6 +13,7 @@ from convoweave.operators import graph as G
 from convoweave.operators import knowledge as K
 from convoweave.operators import linking as L
 from convoweave.operators import pages as P
+from convoweave.operators.communities import first_turn, louvain, modularity
 from convoweave.plans import catalogue as B
 from convoweave.plans.catalogue import query
 from convoweave.sinks import graph_files
@@ -64,10 +65,16 @@ def term_edges(s, d) -> DataFrame:
     return P.union(K.term_edges("concept", "discusses", c), K.tag_edges(t), K.term_edges("person", "mentions", p)).withColumn("weight", F.round("weight", 6))
 
 
+def simple_edges(s, d) -> DataFrame:
+    return stage(K.simple_edges(pair_log(s, d), tags(s, d), concepts(s, d), people(s, d)), "simple-edges")
+
+
+def node_ids(s, d) -> DataFrame:
+    return nodes(s, d).select(F.col("node_id").alias("id"))
+
+
 def term_pairs(s, d) -> DataFrame:
-    """(id, kind, term, weight): what two-hop links go over, concepts and tags but not people."""
-    c = concepts(s, d).groupBy(F.col("conv_id").alias("id"), F.concat(F.lit("concept:"), K.normal(F.col("raw"))).alias("term")).agg(F.count("*").cast("double").alias("weight"))
-    return c.unionByName(tags(s, d).select(F.col("conv_id").alias("id"), F.concat(F.lit("tag:"), "tag").alias("term"), F.col("confidence").alias("weight")))
+    return K.term_pairs(tags(s, d), concepts(s, d))
 
 
 def related(s, d) -> DataFrame:
@@ -158,7 +165,7 @@ query("shown_nodes", f"""{GRAPH}, wanted AS (SELECT * FROM nodes WHERE node_type
 k AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM heavy UNION ALL SELECT dst FROM heavy) GROUP BY node)
 SELECT node_id, node_type, label, n FROM wanted JOIN k ON node = node_id ORDER BY degree DESC, node_id LIMIT 40""")(
     lambda s, d: K.filtered(nodes(s, d), edges(s, d), 1.0, 40, kinds=("conversation", "concept"))[0])
-query("graph_export", None)(lambda s, d: graph_files.graph_lines(nodes(s, d), edges(s, d), K.communities(nodes(s, d).select(F.col("node_id").alias("id")), edges(s, d))))
+query("graph_export", None)(lambda s, d: graph_files.graph_lines(nodes(s, d), edges(s, d), louvain(node_ids(s, d), simple_edges(s, d))))
 
 _links = "lk0 AS (SELECT src, dst, weight FROM ways), own AS (SELECT src, src AS dst, max(weight) AS weight FROM lk0 GROUP BY src), lk AS (SELECT * FROM lk0 UNION ALL SELECT * FROM own), c0 AS (SELECT conv_id AS id, conv_id AS community FROM conv)"
 for _k in range(1, 5):
@@ -167,7 +174,43 @@ c{_k} AS (SELECT id, coalesce(new, community) AS community FROM c{_k - 1} LEFT J
 query("communities_k4", f"{B.GRAPH}, {_links} SELECT id, community FROM c4")(
     lambda s, d: K.communities(B.conv(s, d).select(F.col("conv_id").alias("id")), B.edges(s, d), 4, settle=False))
 query("communities", None)(lambda s, d: K.communities(B.conv(s, d).select(F.col("conv_id").alias("id")), B.edges(s, d)))
-query("importance", None)(lambda s, d: K.importance(nodes(s, d).select(F.col("node_id").alias("id")), edges(s, d)))
+query("importance", None)(lambda s, d: K.importance(node_ids(s, d), simple_edges(s, d)))
+
+# Ranks and communities of the simple graph of all five rules and all nodes.
+SIMPLE = """simple AS (SELECT 'conv:' || src AS src, 'conv:' || dst AS dst, weight FROM folded UNION ALL SELECT src, dst, round(weight, 6) FROM terms),
+ends2 AS (SELECT src, dst, weight FROM simple UNION ALL SELECT dst, src, weight FROM simple)"""
+_ROUNDS = 5
+_rank = """out2 AS (SELECT src, sum(weight) AS t FROM ends2 GROUP BY src), share2 AS (SELECT e.src, dst, weight / t AS share FROM ends2 e JOIN out2 o ON o.src = e.src),
+nn2 AS (SELECT count(*) AS total FROM nodes), p0 AS (SELECT node_id AS id, 1.0::DOUBLE / total AS rank FROM nodes, nn2)"""
+for _k in range(1, _ROUNDS + 1):
+    _rank += f""", lost{_k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM p{_k - 1} LEFT JOIN out2 ON src = id WHERE t IS NULL),
+got{_k} AS (SELECT dst, sum(rank * share) AS got FROM p{_k - 1} JOIN share2 ON src = id GROUP BY dst),
+p{_k} AS (SELECT p.id, 0.15 / total + 0.85 * (coalesce(got, 0) + lost / total) AS rank FROM p{_k - 1} p LEFT JOIN got{_k} ON dst = id, lost{_k}, nn2)"""
+RANKED = f"{GRAPH}, {SIMPLE}, {_rank}, importance AS (SELECT id, round(rank, 8) AS rank FROM p{_ROUNDS})"
+
+
+def importance(s, d) -> DataFrame:
+    return G.pagerank(node_ids(s, d), simple_edges(s, d), _ROUNDS, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
+
+
+query("importance_k5", f"{RANKED} SELECT id, rank FROM importance")(importance)
+_spread = "h0 AS (SELECT src, src AS dst, max(weight) AS weight FROM ends2 GROUP BY src), h AS (SELECT * FROM ends2 UNION ALL SELECT * FROM h0), s0 AS (SELECT node_id AS id, node_id AS community FROM nodes)"
+for _k in range(1, 5):
+    _spread += f""", w{_k} AS (SELECT src, community, round(sum(weight), 6) AS votes FROM h JOIN s{_k - 1} ON id = dst GROUP BY src, community), z{_k} AS (SELECT src, community AS new FROM w{_k} QUALIFY row_number() OVER (PARTITION BY src ORDER BY votes DESC, community) = 1),
+s{_k} AS (SELECT id, coalesce(new, community) AS community FROM s{_k - 1} LEFT JOIN z{_k} ON src = id)"""
+query("communities_all_k4", f"{GRAPH}, {SIMPLE}, {_spread} SELECT id, community FROM s4")(lambda s, d: K.communities(node_ids(s, d), simple_edges(s, d), 4, settle=False))
+_whole = "li AS (SELECT src, dst, sum(round(weight * 1000000)::BIGINT)::HUGEINT AS w FROM ends2 GROUP BY src, dst), ki AS (SELECT src AS id, sum(w) AS k FROM li GROUP BY src), mm AS (SELECT sum(k)::HUGEINT AS m FROM ki)"
+query("modularity_k4", f"""{GRAPH}, {SIMPLE}, {_spread}, {_whole}, byc AS (SELECT a.community, sum(k)::DOUBLE AS t FROM s4 a JOIN ki ON ki.id = a.id GROUP BY a.community)
+SELECT round((SELECT sum(w)::DOUBLE FROM li JOIN s4 a ON a.id = src JOIN s4 b ON b.id = dst WHERE a.community = b.community) / m::DOUBLE - (SELECT sum(t * t) FROM byc) / m::DOUBLE / m::DOUBLE, 8) AS modularity FROM mm""")(
+    lambda s, d: (lambda i, e: modularity(i, e, K.communities(i, e, 4, settle=False)).select(F.round("modularity", 8).alias("modularity")))(node_ids(s, d), simple_edges(s, d)))
+query("louvain_first_turn", f"""{GRAPH}, {SIMPLE}, {_whole}, sc AS (SELECT src, dst, m * w - a.k::HUGEINT * b.k::HUGEINT AS score FROM li JOIN ki a ON a.id = src JOIN ki b ON b.id = dst, mm),
+best AS (SELECT src, dst FROM sc QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) = 1 AND score > 0 AND dst < src)
+SELECT node_id AS id, dst AS target FROM nodes LEFT JOIN best ON src = node_id""")(lambda s, d: first_turn(node_ids(s, d), simple_edges(s, d)))
+query("louvain", None)(lambda s, d: louvain(node_ids(s, d), simple_edges(s, d)))
+query("louvain_conversations", None)(lambda s, d: louvain(B.conv(s, d).select(F.col("conv_id").alias("id")), G.fold_edges(pair_log(s, d))))
+query("graph_totals_ranked", f"""{RANKED} SELECT 'nodes' AS what, count(*)::DOUBLE AS value FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'nodes of ' || node_type, count(*) FROM nodes GROUP BY node_type
+UNION ALL SELECT * FROM (SELECT 'top ' || id, round(rank, 6) FROM importance ORDER BY rank DESC, id LIMIT 5)""")(
+    lambda s, d: K.summary(nodes(s, d), edges(s, d), importance(s, d).withColumnRenamed("id", "node_id")))
 
 # Links ------------------------------------------------------------------------------------------------------------
 
@@ -182,6 +225,10 @@ query("concept_links_importance", f"""{GRAPH} SELECT conv_id, t AS term, score,
 FROM (SELECT DISTINCT conv_id, trim(lower(raw)) AS t FROM concepts) JOIN nodes ON node_id = 'concept:' || t LEFT JOIN degree ON node = node_id) WHERE rank <= 15""")(
     lambda s, d: L.concept_links(concepts(s, d).select("conv_id", K.normal(F.col("raw")).alias("term")).distinct(), K.node_degrees(nodes(s, d), edges(s, d), "concept").select(F.substring("node_id", 9, 1_000_000).alias("term"), F.col("degree").alias("importance"), "n")))
 
+query("concept_links_ranked", f"""{RANKED} SELECT conv_id, t AS term, score, rank FROM (SELECT conv_id, t, round(1000 * i.rank * (1 + 0.1::DOUBLE * n), 6) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY round(1000 * i.rank * (1 + 0.1::DOUBLE * n), 6) DESC, t) AS rank
+FROM (SELECT DISTINCT conv_id, trim(lower(raw)) AS t FROM concepts) JOIN nodes ON node_id = 'concept:' || t JOIN importance i ON i.id = node_id) WHERE rank <= 15""")(
+    lambda s, d: L.concept_links(concepts(s, d).select("conv_id", K.normal(F.col("raw")).alias("term")).distinct(), nodes(s, d).join(importance(s, d).withColumnRenamed("id", "node_id"), "node_id").select(F.substring("node_id", 9, 1_000_000).alias("term"), (1000 * F.col("rank")).alias("importance"), "n")))
+
 # Annotation -------------------------------------------------------------------------------------------------------
 
 query("digest_with_title", f"""WITH {B.CONV}, {MESSAGES}, m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM messages),
