@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoweave.operators.graph import both_ways, topk
+from convoweave.shared import discard, stage
 
 # Limits and weights of links.
 RELATED, CONCEPTS, MIN_SCORE, INDIRECT, BOOST = 10, 15, 0.3, 0.3, 0.1
@@ -68,3 +69,88 @@ def backlinks(links: DataFrame, conv: DataFrame) -> DataFrame:
     titled = links.join(conv.select(F.col("conv_id").alias("dst"), "title"), "dst").join(owners, "title")
     named = titled.join(conv.select(F.col("conv_id").alias("src"), F.col("title").alias("source_title")), "src")
     return named.groupBy(F.col("owner").alias("conv_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("src", "source_title"))), lambda x: x["source_title"]), " / ").alias("backlinks"))
+
+
+# Top-k two-hop links without all pairs of a common term -----------------------------------------------------------
+
+#: Terms of more conversations than this are common; their first stride has BLOCK postings; strides of a round.
+COMMON, BLOCK, STRIDES = 64, 16, 3
+
+
+def postings(often: DataFrame) -> DataFrame:
+    """(term, id, weight, stride) of common terms: by falling weight, then id, in strides of 16, 16, 32, 64, ... postings.
+
+    Places are counted inside ranges of (term, weight, id) and shifted by the counts of a term's earlier ranges, so a term that
+    every conversation has is sorted by many tasks. A term has at most as many strides as its size has bits.
+    """
+    n = int(often.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("weight"), F.asc("id")]
+    dealt = stage(often.select("term", "id", "weight").repartitionByRange(n, F.asc("term"), *order).withColumn("range", F.spark_partition_id()), "posting-ranges")
+    counts = dealt.groupBy("term", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("term", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = dealt.withColumn("place", F.row_number().over(Window.partitionBy("term", "range").orderBy(*order)) - 1)
+    place = F.floor((F.col("offset") + F.col("place")) / BLOCK)
+    return inside.join(offsets, ["term", "range"]).select("term", "id", "weight", F.when(place == 0, 0).otherwise(F.floor(F.log2(F.greatest(place, F.lit(1))) + 1e-12) + 1).cast("int").alias("stride"))
+
+
+def common_scores(pairs: DataFrame, often: DataFrame) -> DataFrame:
+    """(src, dst, more): what common terms add to each of ``pairs`` (src, dst); pairs without any have no row."""
+    a = often.select(F.col("id").alias("src"), "term", F.col("weight").alias("w_src"))
+    b = often.select(F.col("id").alias("dst"), "term", F.col("weight").alias("w_dst"))
+    return pairs.join(a, "src").join(b, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(INDIRECT * F.col("w_src") * F.col("w_dst")).alias("more"))
+
+
+def _best(found: DataFrame, k: int, least: float) -> DataFrame:
+    once = found.where(F.col("score") >= least).groupBy("src", "dst").agg(F.max(F.struct("score", (F.col("relationship") != "indirect").alias("known"), "relationship")).alias("x"))
+    return related(once.select("src", "dst", "x.score", "x.relationship"), k, least)
+
+
+def _reaches(bound: Column) -> Column:
+    """Whether something of at most ``bound`` could still be among the best; ties go to lesser ids."""
+    rounded = F.round(bound + 1e-9, 6)
+    return (rounded > F.col("floor")) | ((rounded == F.col("floor")) & (F.col("last").isNull() | (F.col("first_id") < F.col("last"))))
+
+
+def top_related(edges: DataFrame, term_edges: DataFrame, k: int = RELATED, least: float = MIN_SCORE, common: int = COMMON) -> DataFrame:
+    """What ``related(candidates(edges, term_edges), k, least)`` gives, without making all pairs of a common term.
+
+    Pairs of direct edges and of rare terms are made and scored outright, and each conversation with the first stride of its
+    common terms. That gives every source a k-th best score so far. A conversation met only through common terms scores at
+    most the sum, over the source's common terms, of both weights with the term's greatest in place of its own; a stride of a
+    term can be left out when even its own greatest weight, with the others' greatest, stays below the source's k-th best. What
+    belongs to the best is in no stride left out, so the result is exact. Strides grow twofold and are visited in rounds,
+    each of which raises the bound. Weights must not be negative.
+    """
+    terms = stage(term_edges.select("id", "term", "weight"), "link-terms")
+    sizes = terms.groupBy("term").agg(F.count("*").alias("n"), F.max("weight").alias("most"))
+    sized = stage(terms.join(sizes, "term"), "link-sized")
+    rare, often = sized.where(F.col("n") <= common), sized.where(F.col("n") > common)
+    lists = stage(postings(often), "link-postings")
+
+    a, b = (rare.select(F.col("id").alias(x), "term", F.col("weight").alias(f"w_{x}")) for x in ("src", "dst"))
+    few = a.join(b, "term").where("src <> dst").groupBy("src", "dst").agg(F.sum(INDIRECT * F.col("w_src") * F.col("w_dst")).alias("rare"))
+    seeds = often.select(F.col("id").alias("src"), "term").join(lists.where("stride = 0").select("term", F.col("id").alias("dst")), "term").where("src <> dst").select("src", "dst")
+    known = direct(edges).join(few, ["src", "dst"], "full_outer")
+    every = stage(known.join(seeds.distinct(), ["src", "dst"], "full_outer"), "link-pairs")
+    first = every.join(common_scores(every.select("src", "dst"), often), ["src", "dst"], "left")
+    hops = F.round(F.coalesce("rare", F.lit(0.0)) + F.coalesce("more", F.lit(0.0)), 6)
+    scored = first.select("src", "dst", F.round(F.coalesce("score", F.lit(0.0)) + hops, 6).alias("score"), F.coalesce("relationship", F.lit("indirect")).alias("relationship"))
+    best = stage(_best(scored, k, least), "link-best")
+
+    strides = stage(lists.groupBy("term", "stride").agg(F.max("weight").alias("top"), F.min("id").alias("first_id")).where("stride > 0"), "link-strides")
+    whole = often.groupBy(F.col("id").alias("src")).agg(F.sum(INDIRECT * F.col("weight") * F.col("most")).alias("all"))
+    mine = stage(often.select(F.col("id").alias("src"), "term", "weight", "most").join(whole, "src"), "link-bounds")
+    last = strides.agg(F.max("stride")).first()[0] or 0
+    for start in range(1, last + 1, STRIDES):
+        floors = best.where(F.col("rank") == k).select("src", F.col("score").alias("floor"), F.col("dst").alias("last"))
+        open_ = mine.join(floors, "src", "left").withColumn("floor", F.coalesce("floor", F.lit(float(least))))
+        tried = open_.join(strides.where(F.col("stride") >= start), "term").where(_reaches(F.col("all") - INDIRECT * F.col("weight") * (F.col("most") - F.col("top"))))
+        if not tried.head(1):
+            break
+        now = tried.where(F.col("stride") < start + STRIDES).select("src", "term", "stride")
+        met = now.join(lists.select("term", "stride", F.col("id").alias("dst")), ["term", "stride"]).where("src <> dst").select("src", "dst").distinct()
+        more = common_scores(met, often).select("src", "dst", F.round("more", 6).alias("score"), F.lit("indirect").alias("relationship"))
+        best, old = stage(_best(best.drop("rank").unionByName(more), k, least), "link-best"), best
+        discard(old)
+    return best

@@ -215,6 +215,7 @@ UNION ALL SELECT * FROM (SELECT 'top ' || id, round(rank, 6) FROM importance ORD
 # Links ------------------------------------------------------------------------------------------------------------
 
 query("related_all_rules", f"{GRAPH}, {HOPS} SELECT * FROM related")(related)
+query("related_topk", f"{GRAPH}, {HOPS} SELECT * FROM related")(lambda s, d: L.top_related(G.fold_edges(pair_log(s, d)), term_pairs(s, d)))
 query("shared_elements", f"{GRAPH}, {HOPS} SELECT src, dst, more AS score, paths, shared FROM hop")(
     lambda s, d: L.indirect(term_pairs(s, d), shared=True))
 query("link_metadata", f"{GRAPH}, {HOPS} SELECT src AS conv_id, string_agg(title || '=' || score::VARCHAR, ';' ORDER BY title) AS scores FROM (SELECT src, title, max_by(score, rank) AS score FROM related JOIN conv ON conv_id = dst GROUP BY ALL) GROUP BY src")(
