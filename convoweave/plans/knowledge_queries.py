@@ -14,6 +14,7 @@ from convoweave.operators import knowledge as K
 from convoweave.operators import linking as L
 from convoweave.operators import pages as P
 from convoweave.operators.communities import first_turn, louvain, modularity
+from convoweave.operators.duplicates import exact_duplicates, near_duplicates
 from convoweave.plans import catalogue as B
 from convoweave.plans.catalogue import query
 from convoweave.sinks import graph_files
@@ -230,6 +231,30 @@ query("concept_links_ranked", f"""{RANKED} SELECT conv_id, t AS term, score, ran
 FROM (SELECT DISTINCT conv_id, trim(lower(raw)) AS t FROM concepts) JOIN nodes ON node_id = 'concept:' || t JOIN importance i ON i.id = node_id) WHERE rank <= 15""")(
     lambda s, d: L.concept_links(concepts(s, d).select("conv_id", K.normal(F.col("raw")).alias("term")).distinct(), nodes(s, d).join(importance(s, d).withColumnRenamed("id", "node_id"), "node_id").select(F.substring("node_id", 9, 1_000_000).alias("term"), (1000 * F.col("rank")).alias("importance"), "n")))
 
+# Near duplicates --------------------------------------------------------------------------------------------------
+
+_greedy = """dn AS (SELECT id, count(*) AS n FROM dw GROUP BY id), ids AS (SELECT DISTINCT id FROM everyone),
+dl AS (SELECT src, dst, round(k / (x.n + y.n - k), 6) AS w FROM (SELECT a.id AS src, b.id AS dst, count(*) AS k FROM dw a JOIN dw b ON a.word = b.word AND a.id < b.id GROUP BY ALL) JOIN dn x ON x.id = src JOIN dn y ON y.id = dst WHERE k / (x.n + y.n - k) >= 0.85),
+o0 AS (SELECT id FROM ids)"""
+for _k in range(1, 7):
+    _greedy += f""", d{_k} AS (SELECT src, dst, w FROM dl WHERE src IN (SELECT id FROM o{_k - 1}) AND dst IN (SELECT id FROM o{_k - 1})), k{_k} AS (SELECT id FROM o{_k - 1} WHERE id NOT IN (SELECT dst FROM d{_k})),
+g{_k} AS (SELECT dst AS id, min(src) AS keep_id, min_by(w, src) AS w FROM d{_k} WHERE src IN (SELECT id FROM k{_k}) GROUP BY dst), o{_k} AS (SELECT id FROM o{_k - 1} WHERE id NOT IN (SELECT id FROM k{_k}) AND id NOT IN (SELECT id FROM g{_k}))"""
+_greedy += " SELECT id, id AS keep_id, 1.0::DOUBLE AS similarity, true AS kept FROM (" + " UNION ALL ".join(f"SELECT id FROM k{k}" for k in range(1, 7)) + ") UNION ALL SELECT id, keep_id, w, false FROM (" + " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(1, 7)) + ")"
+_dw = "everyone AS (SELECT {id} AS id FROM {t}), dw AS (SELECT DISTINCT {id} AS id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM {t})"
+
+
+def conversation_words(s, d) -> DataFrame:
+    return messages(s, d).select(F.col("conv_id").alias("id"), F.explode_outer(C.words(F.col("text"))).alias("word"))
+
+
+def document_words(s, d) -> DataFrame:
+    return B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode_outer(C.words(F.col("text"))).alias("word"))
+
+
+for _name, _words, _id, _t in (("conversations", conversation_words, "conv_id", "conversations"), ("documents", document_words, "doc_id", "documents")):
+    query(f"near_duplicate_{_name}", f"WITH {_dw.format(id=_id, t=_t)}, {_greedy}")(lambda s, d, f=_words: near_duplicates(f(s, d)))
+    query(f"near_duplicate_{_name}_exact", f"WITH {_dw.format(id=_id, t=_t)}, {_greedy}")(lambda s, d, f=_words: exact_duplicates(f(s, d)))
+
 # Annotation -------------------------------------------------------------------------------------------------------
 
 query("digest_with_title", f"""WITH {B.CONV}, {MESSAGES}, m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM messages),

@@ -28,7 +28,7 @@ def test_run_resume_and_stats(spark, tmp_path, capsys):
     export(f"{tmp_path}/in")
     source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     assert runner.run(spark, source, out, dry_run=True)["conversations"] == 7
-    found = runner.run(spark, source, out, Settings(min_messages=2))
+    found = runner.run(spark, source, out, Settings(min_messages=2, near_duplicates=0))
     assert found["unreadable"] == 1 and found["conversations"] == 7
     notes = sorted(os.listdir(f"{tmp_path}/out/Conversations/uncategorized"))
     assert [n for n in notes if n.endswith(".md") and n[0] != "."] == [f"Talk {k}- a-b.md" for k in range(4)]
@@ -49,6 +49,16 @@ def test_run_resume_and_stats(spark, tmp_path, capsys):
     assert cli.main(["stats", f"{tmp_path}/out", "--json"]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["notes"] == stats["notes"]
 
 
+def test_near_copies_go(spark, tmp_path):
+    export(f"{tmp_path}/in")
+    s = Settings(min_messages=2)
+    conv = runner.chosen(exports.read_exports(spark, f"file://{tmp_path}/in"), s)
+    twins = {r["id"]: r["keep_id"] for r in runner.without_copies(runner.cleaned_messages(conv, s), s.near_duplicates).collect()}
+    assert twins == {f"c{k}": "c1" for k in range(1, 8)}  # they differ in one number
+    apart = {r["id"]: r["kept"] for r in runner.without_copies(runner.cleaned_messages(conv, s), 0.99).collect()}
+    assert len(apart) == 7 and all(apart.values())
+
+
 def test_stages_resume(spark, tmp_path):
     made = []
 
