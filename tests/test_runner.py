@@ -56,7 +56,7 @@ def test_near_copies_go(spark, tmp_path):
     twins = {r["id"]: r["keep_id"] for r in runner.without_copies(runner.cleaned_messages(conv, s), s.near_duplicates).collect()}
     assert twins == {f"c{k}": "c1" for k in range(1, 8)}  # they differ in one number
     apart = {r["id"]: r["kept"] for r in runner.without_copies(runner.cleaned_messages(conv, s), 0.99).collect()}
-    assert len(apart) == 7 and all(apart.values())
+    assert {k for k, kept in apart.items() if kept} == {"c1", "c4", "c5", "c6", "c7"}  # 1 to 3 are numbers that all have
 
 
 def test_stages_resume(spark, tmp_path):
