@@ -13,6 +13,7 @@ from convoweave.operators import graph as G
 from convoweave.operators import knowledge as K
 from convoweave.operators import linking as L
 from convoweave.operators import pages as P
+from convoweave.operators import summaries as S
 from convoweave.operators.communities import first_turn, louvain, modularity
 from convoweave.operators.duplicates import exact_duplicates, near_duplicates
 from convoweave.plans import catalogue as B
@@ -255,6 +256,37 @@ for _name, _words, _id, _t in (("conversations", conversation_words, "conv_id",
     query(f"near_duplicate_{_name}", f"WITH {_dw.format(id=_id, t=_t)}, {_greedy}")(lambda s, d, f=_words: near_duplicates(f(s, d)))
     query(f"near_duplicate_{_name}_exact", f"WITH {_dw.format(id=_id, t=_t)}, {_greedy}")(lambda s, d, f=_words: exact_duplicates(f(s, d)))
 
+# Summaries --------------------------------------------------------------------------------------------------------
+
+
+def period_sentences(s, d, pattern: str) -> DataFrame:
+    """Sentences of all messages by the month or week their conversation began in."""
+    when = F.date_format("created_at", "yyyy-MM") if pattern == "month" else F.date_format(F.date_trunc("week", "created_at"), "yyyy-MM-dd")
+    return S.sentences(messages(s, d).join(B.conv(s, d).select("conv_id", when.alias("period")), "conv_id"), "period")
+
+
+def topic_sentences(s, d) -> DataFrame:
+    """Sentences by the topics, the tags, of their conversation."""
+    return S.sentences(messages(s, d).join(tags(s, d).select("conv_id", F.col("tag").alias("topic")), "conv_id"), "topic")
+
+
+_sent = """ms AS (SELECT strftime(created_at, '%Y-%m') AS period, conv_id, turn, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS l FROM conversations JOIN conv USING (conv_id)),
+st AS (SELECT period, conv_id, turn, i - 1 AS place, trim(l[i]) AS sentence, list_filter(string_split_regex(lower(trim(l[i])), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ms)),
+ds AS (SELECT period, list_sort(list_distinct(w)) AS bag, min({'c': conv_id, 't': turn, 'p': place, 's': sentence}) AS x, count(*) AS times FROM st WHERE len(w) >= 4 GROUP BY ALL),
+dz AS (SELECT *, row_number() OVER () AS id, count(*) OVER (PARTITION BY period) AS n, sum(times) OVER (PARTITION BY period) AS total FROM ds),
+fw AS (SELECT period, id, n, unnest(bag) AS word FROM dz), iw AS (SELECT *, ln(1 + n::DOUBLE / count(*) OVER (PARTITION BY period, word)) AS idf FROM fw),
+bw AS MATERIALIZED (SELECT period, id, word, idf / sqrt(sum(idf * idf) OVER (PARTITION BY id)) AS b FROM iw),
+deg AS (SELECT id, sum(b * (s - b)) AS degree FROM (SELECT *, sum(b) OVER (PARTITION BY period, word) AS s FROM bw) GROUP BY id),
+q0 AS (SELECT z.*, CASE WHEN degree > 1e-9 THEN degree END AS degree, times::DOUBLE / total AS start, times::DOUBLE / total AS rank FROM dz z JOIN deg USING (id))"""
+for _k in range(1, 4):
+    _sent += f""", v{_k}s AS (SELECT w.period, w.id, word, b, b * rank / degree AS g FROM bw w JOIN q{_k - 1} q ON q.id = w.id WHERE degree IS NOT NULL),
+t{_k}s AS (SELECT id, sum(b * (s - g)) AS got FROM (SELECT *, sum(g) OVER (PARTITION BY period, word) AS s FROM v{_k}s) GROUP BY id), q{_k} AS (SELECT q.* EXCLUDE (rank), (0.15 + 0.85 * sum(CASE WHEN degree IS NULL THEN rank ELSE 0 END) OVER (PARTITION BY period)) * start + 0.85 * coalesce(got, 0) AS rank FROM q{_k - 1} q LEFT JOIN t{_k}s t ON t.id = q.id)"""
+query("sentence_ranks_k3", f"WITH {B.CONV}, {_sent} SELECT period, x.c AS conv_id, x.t AS turn, x.p::INT AS place, x.s AS sentence, round(rank, 8) AS rank FROM q3")(
+    lambda s, d: S.ranked(period_sentences(s, d, "month"), "period", 3).select("period", "conv_id", "turn", "place", "sentence", F.round("rank", 8).alias("rank")))
+query("monthly_digests", None)(lambda s, d: S.summaries(period_sentences(s, d, "month"), "period"))
+query("weekly_digests", None)(lambda s, d: S.summaries(period_sentences(s, d, "week"), "period"))
+query("topic_digests", None)(lambda s, d: S.summaries(topic_sentences(s, d), "topic"))
+
 # Annotation -------------------------------------------------------------------------------------------------------
 
 query("digest_with_title", f"""WITH {B.CONV}, {MESSAGES}, m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM messages),
