@@ -1,6 +1,7 @@
 """Conversation exports: JSON files of varying shape and HTML pages, one row for each conversation.
 
-Files are read whole, in parallel; directories and globs are fine. Ids that are missing become a hash of file and
+JSON files are read natively by ``json_exports``; the parser here takes texts that come as rows or in streams, and HTML, whole
+and in parallel. Directories and globs are fine. Ids that are missing become a hash of file and
 ordinal, times that cannot be read become null. Elements that are no objects are skipped; a file that is neither JSON
 nor HTML gives one row with ``error`` set.
 """
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoweave.functions.cleaning import ASSISTANT_ROLES, HUMAN_ROLES
+
 SCHEMA = (
     "file string, pos int, conv_id string, title string, created_at timestamp, source_url string, "
     "messages array<struct<role:string,content:string,timestamp:timestamp>>, error string"
@@ -29,7 +32,6 @@ URL_KEYS = ("url", "source_url")
 MESSAGE_KEYS = ("chat_messages", "messages", "conversation")
 ROLE_KEYS = ("sender", "role", "author")
 MESSAGE_TIME_KEYS = ("created_at", "timestamp", "time")
-HUMAN, ASSISTANT = {"human", "user", "you", "me"}, {"assistant", "claude", "ai", "bot", "system"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -39,7 +41,7 @@ def first(data: dict, keys: tuple[str, ...]):
 
 def role_of(value) -> str:
     low = str(value).lower()
-    return "human" if low in HUMAN else "assistant" if low in ASSISTANT else low
+    return "human" if low in HUMAN_ROLES else "assistant" if low in ASSISTANT_ROLES else low
 
 
 def time_of(value) -> datetime | None:
@@ -197,5 +199,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+JSON_FILES, JSON_NAMES = "*.{json,jsonl,ndjson,JSON}", r"(?i)[.](json|jsonl|ndjson)\z"
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(read_files(spark, path))
+    """Conversations of a file, a folder or a pattern: JSON files by name are read natively, in pieces, the others whole."""
+    from convoweave.sources.json_exports import read_json
+
+    others = read_files(spark, path).where(~F.col("file").rlike(JSON_NAMES))  # a filter on names keeps the files from being read
+    return read_json(spark, path).unionByName(parsed(others))
