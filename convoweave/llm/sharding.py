@@ -1,16 +1,16 @@
 """Sharding by histogram sort.
 
-Rows have a key, the pair (64-bit hash of the text, doc_id), so equal texts are neighbours. Shards are contiguous
+Rows have a key: 64-bit hash of the text, doc_id, place in the staged table; so equal texts are neighbours and no two rows are equal. Shards are contiguous
 key ranges of near equal bytes, a row's bytes being those of its text in UTF-8 (0 for null) plus 1. Splitters are
 found by exact histograms: all partitions count the rows and bytes below each candidate key; probes between the two
 keys that enclose a shard's ideal boundary refine it until the splitter stands at a change of text within
-``TOLERANCE`` of a shard's bytes, or, inside a larger group of equal texts, at the row where the boundary falls.
+``TOLERANCE`` of a shard's bytes, or, inside a larger group of equal texts, at a row within ``TOLERANCE`` of the boundary.
 Then rows are exchanged once. So a group of equal texts stays together unless it alone is larger than the tolerance
-and a boundary falls into it; such hot groups are split, which keeps the shards near equal.
+and a boundary falls into it; such hot groups are split, between rows that repeat one id and text too, which keeps the shards
+near equal.
 
 The counts below every probe are exact, so ranges finer than shards are dealt to tasks and each knows the slot it
-starts from: no task sees a whole shard. Rows with equal keys (repeated rows) are interchangeable. A null id sorts
-first. An empty table gives an empty result. Extra columns are ignored.
+starts from: no task sees a whole shard. Rows that repeat an id and a text are interchangeable. A null id sorts first. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ TOLERANCE = 0.01
 PROBES_PER_BOUNDARY = 32
 RANGES_PER_SHARD = 8
 NO_ID = -(1 << 63)
-Key = tuple[int, int]
-LOWEST: Key = (-(1 << 63), NO_ID)
-HIGHEST: Key = ((1 << 63) - 1, (1 << 63) - 1)
+MOST = (1 << 63) - 1
+Key = tuple[int, int, int]
+LOWEST: Key = (-(1 << 63), NO_ID, 0)
+HIGHEST: Key = (MOST, MOST, MOST)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The slim rows that are sorted: doc_id, size, text_crc32, h, id."""
+    """The slim rows that are sorted: doc_id, size, text_crc32, h, id, no_id, place; the place is fixed once they are staged."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
@@ -45,16 +46,18 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("h"),
         F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
         F.col("doc_id").isNull().alias("no_id"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
-def below(h: np.ndarray, ids: np.ndarray, probes: list[Key]) -> np.ndarray:
+def below(h: np.ndarray, ids: np.ndarray, places: np.ndarray, probes: list[Key]) -> np.ndarray:
     """For each row the number of (sorted) probes at or below its key."""
-    ph, pi = (np.array([p[k] for p in probes], np.int64) for k in (0, 1))
-    order = np.lexsort((np.r_[np.zeros(len(ph), np.int8), np.ones(len(h), np.int8)], np.r_[pi, ids], np.r_[ph, h]))
-    is_probe = order < len(ph)
+    probe = [np.array([p[k] for p in probes], np.int64) for k in (0, 1, 2)]
+    keys = [np.r_[x, y] for x, y in zip(probe, (h, ids, places), strict=True)]
+    order = np.lexsort((np.r_[np.zeros(len(probes), np.int8), np.ones(len(h), np.int8)], keys[2], keys[1], keys[0]))
+    is_probe = order < len(probes)
     out = np.empty(len(h), np.int64)
-    out[order[~is_probe] - len(ph)] = np.cumsum(is_probe)[~is_probe]
+    out[order[~is_probe] - len(probes)] = np.cumsum(is_probe)[~is_probe]
     return out
 
 
@@ -64,12 +67,12 @@ def histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarra
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, size = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
         for b in batches:
-            k = below(b["h"].to_numpy(), b["id"].to_numpy(), probes)
+            k = below(b["h"].to_numpy(), b["id"].to_numpy(), b["place"].to_numpy(), probes)
             n += np.bincount(k, minlength=len(n))
             np.add.at(size, k, b["size"].to_numpy())
         yield pd.DataFrame({"k": np.arange(len(n)), "n": n, "size": size})
 
-    got = rows.select("h", "id", "size").mapInPandas(count, "k long, n long, size long").groupBy("k").agg(F.sum("n"), F.sum("size")).collect()
+    got = rows.select("h", "id", "place", "size").mapInPandas(count, "k long, n long, size long").groupBy("k").agg(F.sum("n"), F.sum("size")).collect()
     n, size = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
     for k, a, b in got:
         n[k], size[k] = a, b
@@ -77,14 +80,15 @@ def histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarra
 
 
 def between(low: Key, high: Key, n: int) -> list[Key]:
-    """Up to ``n`` keys above ``low`` and below ``high``, by hash as long as hashes lie between, else by id."""
-    if high[0] - low[0] > 1:
-        a, b, make = low[0], high[0], lambda x: (x, NO_ID)
-    elif high[0] > low[0]:  # one text's rows: the end of the lower hash comes next, then its ids
-        return [(low[0], x) for x in sorted({low[1] + max(1, (HIGHEST[1] - low[1]) * k // (n + 1)) for k in range(1, n + 1)}) if x > low[1]]
-    else:
-        a, b, make = low[1], high[1], lambda x: (low[0], x)
-    return [make(x) for x in sorted({a + (b - a) * k // (n + 1) for k in range(1, n + 1)}) if a < x < b]
+    """Up to ``n`` keys above ``low`` and below ``high``, in the first part of the key that leaves room."""
+    for part in range(3):
+        # The last number this part may have: below that of ``high`` if all before it are equal, else any.
+        end = high[part] if low[:part] == high[:part] else MOST
+        start = low[part]
+        found = sorted({x for k in range(1, n + 1) if start < (x := start + max(1, (end - start) * k // (n + 1))) < end})
+        if found:
+            return [(*low[:part], x, *((NO_ID, 0)[part:])) for x in found]
+    return []
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[Key], dict[Key, int]]:
@@ -101,8 +105,11 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
         for g, goal in enumerate(goals):
             if g in found:
                 continue
-            at_change = [k for k in known if k[1] == NO_ID and abs(bytes_below[k] - goal) <= slack]
+            close = [k for k in known if abs(bytes_below[k] - goal) <= slack]
+            at_change = [k for k in close if k[1:] == (NO_ID, 0)]
             i = int(np.searchsorted(at, goal, side="left"))
+            if not at_change and i and known[i][0] - known[i - 1][0] <= 1:  # inside a group of equal texts
+                at_change = close
             new = between(known[i - 1], known[i], PROBES_PER_BOUNDARY) if i else []
             if at_change:
                 found[g] = min(at_change, key=lambda k: abs(bytes_below[k] - goal))
@@ -136,13 +143,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["range"] = below(b["h"].to_numpy(), b["id"].to_numpy(), edges) if edges else 0
+            b["range"] = below(b["h"].to_numpy(), b["id"].to_numpy(), b["place"].to_numpy(), edges) if edges else 0
             yield b
 
-    placed = rows.select("size", "text_crc32", "h", "id", "no_id").mapInPandas(
-        place, "size long, text_crc32 long, h long, id long, no_id boolean, range long"
+    placed = rows.select("size", "text_crc32", "h", "id", "no_id", "place").mapInPandas(
+        place, "size long, text_crc32 long, h long, id long, no_id boolean, place long, range long"
     )
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "no_id", "size", "text_crc32"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "no_id", "place"))
     lookup = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("range").cast("int"))
     return placed.withColumn("_n", inside).select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),

@@ -70,3 +70,18 @@ def test_feistel_order_does_not_depend_on_other_partitions():
     numbers = [x for b in blocks for x in b["sequence"].explode()]
     assert len(set(numbers)) == len(numbers) and {n // training_order.PART_SEQUENCES for n in numbers} == {0, 1}
     assert all((x // stream[0].width == r["shard"]).all() for b in blocks for _, r in b.iterrows() for x in [r["place"]])
+
+
+def test_a_third_of_all_rows_are_one_row(spark):
+    """Rows that repeat one id and text, more than several shards hold, are split like any others."""
+    rows = [(k, "same " * 4 + f"{k:05d}") for k in range(2000)] + [(7, "the hot row of all these rows!")] * 1000 + [(None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(docs, 16).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    total, slots = Counter(), Counter()
+    for r in got:
+        total[r["shard"]] += r["size"]
+        slots[r["shard"], r["slot"]] += 1
+    mean = sum(total.values()) / 16
+    assert set(total) == set(range(16)) and all(abs(x - mean) <= 0.03 * mean for x in total.values())
+    assert set(slots.values()) == {1}

@@ -141,12 +141,21 @@ def test_sharding(docs, empty, texts):
 
 
 def test_histogram_is_exact(spark):
-    rows = spark.createDataFrame([(k % 7 - 3, k, k + 1) for k in range(100)], "h long, id long, size long")
-    probes = [(-2, 10), (0, sharding.NO_ID), (0, 50), (3, 1 << 40)]
+    key = lambda k: (k % 7 - 3, k // 2, k)
+    rows = spark.createDataFrame([(*key(k), k + 1) for k in range(100)], "h long, id long, place long, size long")
+    probes = [(-2, 10, 0), (0, sharding.NO_ID, 0), (0, 22, 45), (3, 1 << 40, 0)]
     size, n = sharding.histogram(rows, probes)
     for p, a, b in zip(probes, size, n):
-        low = [(k % 7 - 3, k) for k in range(100) if (k % 7 - 3, k) < p]
-        assert (a, b) == (sum(k + 1 for _, k in low), len(low))
+        low = [k for k in range(100) if key(k) < p]
+        assert (a, b) == (sum(k + 1 for k in low), len(low))
+
+
+def test_keys_between():
+    low, high = sharding.LOWEST, sharding.HIGHEST
+    for a, b in ((low, high), ((5, 3, 9), (6, sharding.NO_ID, 0)), ((5, 3, 9), (5, 4, 0)), ((5, 3, 9), (5, 3, 40)), ((5, sharding.MOST, 1), (6, sharding.NO_ID, 0)), ((5, sharding.NO_ID, 0), (5, 80, 0))):
+        found = sharding.between(a, b, 8)
+        assert found and found == sorted(set(found)) and all(a < x < b for x in found)
+    assert sharding.between((5, 3, 9), (5, 3, 10), 8) == []
 
 
 def test_repeats(docs, empty, texts, spark):
