@@ -16,6 +16,7 @@ starts from: no task sees a whole shard. Rows that repeat an id and a text are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ SHARDS = 16
 TOLERANCE = 0.01
 PROBES_PER_BOUNDARY = 32
 RANGES_PER_SHARD = 8
+MOST_REFINEMENTS = 8
 NO_ID = -(1 << 63)
 MOST = (1 << 63) - 1
 Key = tuple[int, int, int]
@@ -79,21 +81,36 @@ def histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarra
     return np.cumsum(size)[:-1], np.cumsum(n)[:-1]
 
 
-def between(low: Key, high: Key, n: int) -> list[Key]:
+@dataclass(frozen=True)
+class Bounds:
+    """The least and greatest id and the greatest place that there are, so probes inside a group fall where rows are."""
+
+    least_id: int = NO_ID
+    most_id: int = MOST
+    most_place: int = MOST
+
+
+def between(low: Key, high: Key, n: int, bounds: Bounds = Bounds()) -> list[Key]:
     """Up to ``n`` keys above ``low`` and below ``high``, in the first part of the key that leaves room."""
+    least, most = (-(1 << 63), bounds.least_id, 0), (MOST, bounds.most_id, bounds.most_place)
     for part in range(3):
-        # The last number this part may have: below that of ``high`` if all before it are equal, else any.
-        end = high[part] if low[:part] == high[:part] else MOST
-        start = low[part]
-        found = sorted({x for k in range(1, n + 1) if start < (x := start + max(1, (end - start) * k // (n + 1))) < end})
+        # The part's numbers end below that of ``high`` if all before are equal, else with the greatest there is.
+        end = min(high[part], most[part] + 1) if low[:part] == high[:part] else most[part] + 1
+        start = max(low[part], least[part] - 1)
+        found = sorted({x for k in range(1, n + 1) if start < (x := start + max(1, (end - start) * k // (n + 1))) < min(end, MOST)})
         if found:
             return [(*low[:part], x, *((NO_ID, 0)[part:])) for x in found]
     return []
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[Key], dict[Key, int]]:
-    """The ``shards - 1`` splitters, and the number of rows below every key that was probed."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    """The ``shards - 1`` splitters, and the number of rows below every key that was probed.
+
+    Stretches between probed keys that hold more than twice a task's share of the rows are probed on, groups of equal texts
+    included, so no task of the exchange has much more than the others.
+    """
+    least, most, place, total, count = rows.agg(F.min(F.when(~F.col("no_id"), F.col("id"))), F.max("id"), F.max("place"), F.sum("size"), F.count("*")).first()
+    total, bounds = total or 0, Bounds(NO_ID if least is None else least, MOST if most is None else most, MOST if place is None else place)
     slack = tolerance * total / shards
     goals = [total * k / shards for k in range(1, shards)]
     bytes_below, rows_below = {LOWEST: 0, HIGHEST: total}, {LOWEST: 0}
@@ -110,7 +127,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
             i = int(np.searchsorted(at, goal, side="left"))
             if not at_change and i and known[i][0] - known[i - 1][0] <= 1:  # inside a group of equal texts
                 at_change = close
-            new = between(known[i - 1], known[i], PROBES_PER_BOUNDARY) if i else []
+            new = between(known[i - 1], known[i], PROBES_PER_BOUNDARY, bounds) if i else []
             if at_change:
                 found[g] = min(at_change, key=lambda k: abs(bytes_below[k] - goal))
             elif new:
@@ -122,12 +139,21 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
             size, n = histogram(rows, probes)
             bytes_below.update(zip(probes, size.tolist(), strict=True))
             rows_below.update(zip(probes, n.tolist(), strict=True))
+    for _ in range(MOST_REFINEMENTS):
+        known = [*sorted(rows_below), HIGHEST]
+        most_rows = 2 * count / (shards * RANGES_PER_SHARD)
+        held = [(a, b, rows_below.get(b, count) - rows_below[a]) for a, b in zip(known, known[1:], strict=False)]
+        probes = sorted({x for a, b, n in held if n > most_rows for x in between(a, b, min(PROBES_PER_BOUNDARY, 1 + int(2 * n / most_rows)), bounds)})
+        if not probes:
+            break
+        _, n = histogram(rows, probes)
+        rows_below.update(zip(probes, n.tolist(), strict=True))
     return [found[g] for g in range(len(goals))], rows_below
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; slots count from 0 in each shard, in key order."""
-    rows = stage(keyed(docs), "shard-keys")
+    rows = stage(keyed(docs), "shard-keys")  # places are fixed from here on
     cuts, rows_below = splitters(rows, shards, tolerance)
     # Ranges for the exchange: the splitters and, between them, as many probed keys as give tasks of even numbers of rows.
     n = rows.count()

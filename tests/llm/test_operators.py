@@ -156,6 +156,8 @@ def test_keys_between():
         found = sharding.between(a, b, 8)
         assert found and found == sorted(set(found)) and all(a < x < b for x in found)
     assert sharding.between((5, 3, 9), (5, 3, 10), 8) == []
+    inside = sharding.between((5, sharding.NO_ID, 0), (6, sharding.NO_ID, 0), 8, sharding.Bounds(100, 900, 50))
+    assert len(inside) == 8 and all(k[0] == 5 and 100 <= k[1] <= 900 for k in inside)
 
 
 def test_repeats(docs, empty, texts, spark):
