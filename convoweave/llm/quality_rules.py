@@ -1,15 +1,15 @@
 """Quality rules: Jensen-Shannon distance of a document's histograms to its language's references.
 
 Two histograms are compared: the shares of eight character classes, and the shares of the language's
-``COMMON`` most frequent short words (plus one share for all other words). The references are the same
+``COMMON`` most frequent words (plus one share for all other words). The references are the same
 shares summed over every document of the language. Every value of ``lang`` has references of its own, and
-so have the documents without one, under ``POOLED``. The references are pre-aggregated; they are broadcast
+so have the documents without one. The references are pre-aggregated; they are broadcast
 up to ``BROADCAST_LANGUAGES`` languages and joined by shuffle beyond.
 
 A distance is the square root of the base-2 Jensen-Shannon divergence, from 0 to 1. Documents of fewer
 than ``MIN_CHARS`` characters are not judged by classes, those of fewer than ``MIN_WORDS`` words not by
 words: their distance is null. Null and empty texts have no words and fail the base rule. Rows that repeat
-an id are judged each by its own text. Extra columns are ignored.
+an id, or have none, are judged each by its own text; an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,11 @@ from convoweave.llm.text import let, window_hashes, words
 from convoweave.shared import stage
 
 COMMON = 40
-MAX_COMMON_LENGTH = 4
 MIN_CHARS = 200
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.45
 WINDOW = 8
-POOLED = "*"
 #: At most ``COMMON`` words of about 50 bytes each for a language: 4 MB.
 BROADCAST_LANGUAGES = 2_000
 
@@ -67,7 +65,7 @@ def repeated_words(hashes: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Per row: a row number, doc_id, ref (the language), the base counts, the size of each character class, the short words."""
+    """Per row: a row number, doc_id, ref (the language), the base counts, the size of each character class, the words in lower case."""
     df = (
         docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("w", words(F.col("text")))
@@ -83,14 +81,14 @@ def features(docs: DataFrame) -> DataFrame:
     return df.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        F.coalesce("lang", F.lit(POOLED)).alias("ref"),
+        F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("ref"),
         F.size("w").cast("bigint").alias("n_words"),
         lengths[0].cast("bigint").alias("word_chars"),
         sizes[4].cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("hashes")).alias("n_repeat_words"),
         *(x.cast("bigint").alias(f"c_{n}") for x, n in zip(sizes, CLASS_NAMES, strict=True)),
-        F.filter("w", lambda x: F.length(x) <= MAX_COMMON_LENGTH).alias("short"),
+        words(F.lower("text")).alias("words"),
     )
 
 
@@ -112,7 +110,7 @@ def judge(docs: DataFrame) -> DataFrame:
     totals = stage(totals, "quality-languages")
     hint = F.broadcast if totals.count() <= BROADCAST_LANGUAGES else (lambda df: df)
 
-    exploded = feats.select("row", "ref", F.explode("short").alias("word")).withColumn("word", F.lower("word"))
+    exploded = feats.select("row", "ref", F.explode("words").alias("word"))
     counts = exploded.groupBy("ref", "word").agg(F.count("*").alias("ref_count"))
     rank = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("ref_count"), "word"))
     common = counts.withColumn("k", rank).where(F.col("k") <= COMMON)
@@ -122,7 +120,7 @@ def judge(docs: DataFrame) -> DataFrame:
     per_doc = hits.groupBy("row").agg(F.collect_list(F.struct("k", "n", "q")).alias("cells"))
     rest = common.groupBy("ref").agg(F.sum(F.round("q", 12)).alias("q_all"))
 
-    df = feats.drop("short").join(hint(totals), "ref").join(hint(rest), "ref", "left").join(per_doc, "row", "left")
+    df = feats.drop("words").join(hint(totals), "ref").join(hint(rest), "ref", "left").join(per_doc, "row", "left")
     chars, ref_chars = (reduce(lambda a, b: a + b, [F.col(f"{x}_{n}") for n in CLASS_NAMES]) for x in "cr")
     class_js = reduce(lambda a, b: a + b, [divergence_term(F.col(f"c_{n}") / chars, F.col(f"r_{n}") / ref_chars) for n in CLASS_NAMES])
     total = F.col("n_words")
@@ -154,7 +152,7 @@ w AS (SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[\x20\x09
 wins AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, range(8) r(k) GROUP BY doc_id),
-f AS (SELECT doc_id, coalesce(lang, '{POOLED}') AS ref, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+f AS (SELECT doc_id, coalesce('=' || lang, '') AS ref, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
         coalesce(cov.n, 0) AS n_repeat_words,
         len(regexp_replace(text, '[^a-z]', '', 'g')) AS c0, len(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS c1,
@@ -167,8 +165,8 @@ cells AS (SELECT doc_id, ref, unnest([c0, c1, c2, c3, c4, c5, ascii - c0 - c1 -
 cref AS (SELECT ref, k, sum(n) / sum(sum(n)) OVER (PARTITION BY ref) AS q FROM cells GROUP BY ref, k),
 cjs AS (SELECT doc_id, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END) AS js
         FROM (SELECT doc_id, q, n / chars AS p FROM cells JOIN cref USING (ref, k) WHERE chars >= {MIN_CHARS}) GROUP BY doc_id),
-lw AS (SELECT doc_id, coalesce(lang, '{POOLED}') AS ref, unnest(list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word FROM d),
-wc AS (SELECT ref, word, count(*) AS n FROM lw WHERE len(word) <= {MAX_COMMON_LENGTH} GROUP BY ref, word
+lw AS (SELECT doc_id, coalesce('=' || lang, '') AS ref, unnest(list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word FROM d),
+wc AS (SELECT ref, word, count(*) AS n FROM lw GROUP BY ref, word
        QUALIFY row_number() OVER (PARTITION BY ref ORDER BY count(*) DESC, word) <= {COMMON}),
 common AS (SELECT ref, word, n / t AS q FROM wc JOIN (SELECT ref, sum(n_words) AS t FROM f GROUP BY ref) USING (ref)),
 pq AS (SELECT f.doc_id, q, coalesce(h.n, 0) / n_words AS p FROM f JOIN common USING (ref)
