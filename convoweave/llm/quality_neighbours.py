@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
 A document's terms are the shapes of its words (runs of one kind of character collapsed to one sign), pairs of
-neighbouring shapes, hashes of its short words, and a mark for a word that equals the one before. Square roots of
+neighbouring shapes, hashes of its words, and a mark for a word that equals the one before. Square roots of
 term shares times inverse document frequencies are projected to ``DIMENSIONS`` latent axes, from a truncated singular
 value decomposition of the labelled sample, and scaled to length 1. The sample's vectors (at most ``2 * PER_CLASS``
 times ``DIMENSIONS`` numbers, under 1 MB) are broadcast; every document is held against all of them in blocks of
@@ -30,8 +30,8 @@ DIMENSIONS = 32
 NEIGHBOURS = 15
 SHARPNESS = 6
 THRESHOLD = 0.3
-SHAPES, PAIRS, SHORT = 256, 512, 1024
-TERMS = SHAPES + PAIRS + SHORT + 1
+SHAPES, PAIRS, WORDS = 256, 512, 1024
+TERMS = SHAPES + PAIRS + WORDS + 1
 CACHED_WORDS = 300_000
 
 
@@ -45,14 +45,14 @@ def shape(word: str) -> str:
 
 
 class WordCodes(dict):
-    """word -> hash << 20 | shape << 11 | short word (0 for long ones), emptied when full."""
+    """word -> hash << 20 | shape << 11 | term of the word (0 for punctuation), emptied when full."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
         plain = word.strip(".,;:!?'\"()").lower()
-        short = 1 + zlib.crc32(plain.encode()) % (SHORT - 1) if 0 < len(plain) <= 4 else 0
-        code = zlib.crc32(word.encode()) << 20 | zlib.crc32(shape(word).encode()) % SHAPES << 11 | short
+        term = 1 + zlib.crc32(plain.encode()) % (WORDS - 1) if plain else 0
+        code = zlib.crc32(word.encode()) << 20 | zlib.crc32(shape(word).encode()) % SHAPES << 11 | term
         self[word] = code
         return code
 
@@ -64,7 +64,7 @@ def term_shares(texts: list[str], codes: WordCodes) -> np.ndarray:
         if not words:
             continue
         v = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        s, w = v >> 11 & (SHAPES - 1), v & (SHORT - 1)
+        s, w = v >> 11 & (SHAPES - 1), v & (WORDS - 1)
         pairs = SHAPES + (s[:-1] * 31 + s[1:]) % PAIRS
         counts = np.bincount(np.concatenate([s, pairs, w[w > 0] + (SHAPES + PAIRS)]), minlength=TERMS)
         counts[-1] = np.count_nonzero(v[1:] == v[:-1])
