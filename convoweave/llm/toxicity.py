@@ -5,11 +5,13 @@ punctuation and that form's first 4 and 5 characters. Token labels come from doc
 sample, freed of near copies, a feature that enough toxic documents have (``MIN_SUPPORT``, and a share of
 ``MIN_SHARE``) and almost no other marks its tokens, in toxic documents, as toxic. The field (two tags, transition and emission weights) is fitted to these sequences by
 gradient ascent on the regularised conditional likelihood. Every whole text is then tagged: forward-backward gives
-each token's marginal; marginals of ``CONSIDERED`` or more combine to the document's score as one minus the product
-of their complements; neighbouring tokens of ``TAGGED`` or more form a span, given by its character offsets.
+each token's marginal; the squares of all marginals combine to the document's score as one minus the product of their
+complements, so that many faint ones do not make a long text toxic; neighbouring tokens of ``TAGGED`` or more form a
+span, given by its character offsets. Long texts are tagged in overlapping pieces: a message forgets what lies
+before it at a known rate, so with enough overlap the marginals are those of the whole text.
 
 A text without tokens, or any text if no toxic row of the sample has tokens, scores 0. Other columns have no influence; rows
-that repeat an id are scored each by its text; extra columns are ignored.
+that repeat an id, or have none, are scored each by its text; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ PER_CLASS = 900
 MAX_TRAIN_BYTES = 6_000
 MIN_SUPPORT, MIN_SHARE = 3, 0.015
 STEPS, RATE, PENALTY = 40, 0.3, 1e-3
-CONSIDERED, TAGGED = 0.3, 0.5
+TAGGED = 0.5
+PIECE = 4_096
+#: What a message at the start of an overlap may still change in log odds at its end.
+FORGOTTEN = 1e-15
 CACHED_WORDS = 300_000
 BLOCK_CHARS = 4_000_000
 OUTER = ".,;:!?'\"()[]{}*#$%&|<>-_"
@@ -70,6 +75,29 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, a: np.ndarray) -
     return f, b
 
 
+def overlap(a: np.ndarray) -> int:
+    """Tokens after which two messages differ by less than ``FORGOTTEN``: a transition shrinks their gap by a fixed factor."""
+    factor = np.tanh(abs(math.log(a[0, 0] * a[1, 1] / (a[0, 1] * a[1, 0]))) / 4)
+    return 1 if factor < FORGOTTEN else math.ceil(math.log(FORGOTTEN / 60) / math.log(min(factor, 1 - 1e-9)))
+
+
+def marginals(emission: np.ndarray, lengths: np.ndarray, a: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """The chance that a token is toxic, for all tokens of all sequences; sequences of over ``piece`` tokens are cut."""
+    lead = overlap(a)
+    piece = max(piece, 4 * lead)
+    counts = np.maximum(1, -(-lengths // piece))
+    first = np.repeat(np.cumsum(lengths) - lengths, counts)
+    last = np.repeat(np.cumsum(lengths), counts)
+    start = first + piece * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+    end = np.minimum(start + piece, last)
+    left, right = np.maximum(start - lead, first), np.minimum(end + lead, last)
+    sizes = right - left
+    at = np.repeat(left - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    f, b = forward_backward(emission[at], sizes, a)
+    own = (at >= np.repeat(start, sizes)) & (at < np.repeat(end, sizes))
+    return sigmoid((f + b)[own])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
@@ -167,9 +195,6 @@ def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Emissions(*model.value[:2]) if model.value else None
-        if model.value:
-            t = model.value[2]
-            needed = math.log(CONSIDERED / (1 - CONSIDERED)) - max(t[1, 1] - t[1, 0], t[0, 1] - t[0, 0], 0) - max(t[1, 1] - t[0, 1], t[1, 0] - t[0, 0], 0)
         for block in blocks(batches, 10_000, BLOCK_CHARS):
             texts = block["text"].tolist()
             scores, found = np.zeros(len(texts)), [[] for _ in texts]
@@ -178,17 +203,12 @@ def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
                 lengths = np.array([len(s) for s in split])
                 emission = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), float, lengths.sum())
                 of = np.repeat(np.arange(len(texts)), lengths)
-                # No marginal of a text whose emissions all lie below this bound can reach CONSIDERED.
-                busy = np.bincount(of[emission >= needed], minlength=len(texts)) > 0
-                emission, of, own = emission[busy[of]], of[busy[of]], lengths * busy
-                f, b = forward_backward(emission, own, np.exp(model.value[2]))
-                p = sigmoid(f + b)
-                at = np.flatnonzero(p >= CONSIDERED)
-                scores = 1 - np.exp(np.bincount(of[at], np.log1p(-np.minimum(p[at], 1 - 1e-12)), len(texts)))
-                starts = np.cumsum(own) - own
+                p = marginals(emission, lengths, np.exp(model.value[2]))
+                scores = 1 - np.exp(np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-12) ** 2), len(texts)))
+                starts = np.cumsum(lengths) - lengths
                 for i in np.unique(of[np.flatnonzero(p >= TAGGED)]):
-                    found[i] = spans(texts[i], p[starts[i] : starts[i] + own[i]])
-            yield pd.DataFrame({"doc_id": block["doc_id"].astype("Int64"), "score": np.round(scores, 9), "spans": found})
+                    found[i] = spans(texts[i], p[starts[i] : starts[i] + lengths[i]])
+            yield pd.DataFrame({"doc_id": block["doc_id"].astype("Int64"), "score": np.round(scores, 12), "spans": found})
 
     out = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, spans array<struct<start:int,end:int>>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

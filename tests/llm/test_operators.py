@@ -76,6 +76,24 @@ def test_quality_rules_have_a_reference_for_every_language(spark, tmp_path, monk
     assert got.where("kept").count() == len(rows)
 
 
+def test_quality_rules_count_words_of_any_length_and_any_name_of_a_language(spark, tmp_path):
+    """A long word that is common makes texts without it far; the language ``*`` is not that of rows without one."""
+    own = lambda k, w: " ".join([w] * 3 + prose(6000 + k, 4).split()[:3])
+    rows = [(k, " ".join(own(20 * k + j, "extraordinarily") for j in range(12)), "*") for k in range(30)]
+    rows += [(100 + k, " ".join(own(9000 + 20 * k + j, "unbeaufsichtigt") for j in range(12)), None) for k in range(30)]
+    rows += [(200, rows[30][1], "*"), (201, rows[30][1], ""), (None, rows[0][1], "="), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = quality_rules.judge(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert by_id[200]["word_distance"] > 0.5 > max(by_id[k]["word_distance"] for k in [*range(30), *range(100, 130)])
+    assert by_id[201]["word_distance"] < 0.5
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE doc_id IS NOT NULL")
+    ids = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id IS NOT NULL")
+    mine = quality_rules.judge(ids).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted(map(tuple, mine.collect())) == sorted(duck.sql(quality_rules.SQL).fetchall())
+
+
 def expected_components(texts, n=3, percent=90):
     sets = []
     for t in texts:
@@ -260,6 +278,44 @@ def test_toxicity(spark):
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     spans = [text[k][s["start"] : s["end"]] for k in range(0, 160, 2) for s in rows[k]["spans"]]
     assert any(s.startswith("nastyword") for s in spans) and rows[900]["score"] == 0
+    scores = [rows[k]["score"] for k in range(160)]
+    assert min(scores) > 0 and len(set(scores)) > 150  # faint marginals count, so clean texts are ranked too
+    assert toxicity.tag(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_repeats_nulls_long_texts_and_clashing_names(spark):
+    docs, labels = labelled(spark, lambda t, k: t[:60] + f" nastyword{k % 7} " + t[60:])
+    long_clean, bad = prose(77, 60_000), prose(78, 30) + " nastyword1 nastyword2 " + prose(79, 30)
+    more = [(1000, bad), (1000, bad), (1000, "fine words"), (None, bad), (None, None), (1001, ""), (1002, long_clean), (1003, long_clean + " " + bad)]
+    odd = spark.createDataFrame([(i, t, 7.0, "x", 1) for i, t in more], "doc_id long, text string, score double, spans string, predicted int")
+    both = docs.select("doc_id", "text").unionByName(odd, allowMissingColumns=True)
+    got = [r for r in toxicity.tag(both, labels).collect() if r["doc_id"] is None or r["doc_id"] >= 1000]
+    assert sorted((r["doc_id"] or -1, r["predicted"]) for r in got) == sorted([(1000, 1), (1000, 1), (1000, 0), (-1, 1), (-1, 0), (1001, 0), (1002, 0), (1003, 1)])
+    assert [r["score"] for r in got if r["doc_id"] == 1001] == [0.0]
+
+
+def test_quality_classifier_of_repeats_nulls_long_texts_and_clashing_names(spark):
+    docs, labels = labelled(spark, lambda t, k: " ".join(w.upper() + "!!" for w in t.split()))
+    good, bad = prose(78, 40), " ".join(w.upper() + "!!" for w in prose(79, 40).split())
+    more = [(1000, good), (1000, good), (1000, bad), (None, good), (None, None), (1001, ""), (1002, prose(77, 60_000))]
+    odd = spark.createDataFrame([(i, t, 7.0, "x") for i, t in more], "doc_id long, text string, score double, held_out string")
+    both = docs.select("doc_id", "text").unionByName(odd, allowMissingColumns=True)
+    got = quality_neighbours.score_quality(both, labels).where("doc_id IS NULL OR doc_id >= 1000").collect()
+    told = sorted(("" if r["text"] is None else r["text"], r["predicted"]) for r in got if r["text"])
+    assert told == sorted((t, int(t != bad)) for _, t in more if t) and len(got) == len(more)
+    assert len({r["score"] for r in got if not r["text"]}) == 1
+    assert quality_neighbours.score_quality(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("strength", [0.0, 0.8, 2.5])
+def test_cut_sequences_have_the_marginals_of_whole_ones(strength):
+    r = np.random.default_rng(1)
+    lengths = np.array([0, 5000, 1, 0, 131, 2048, 700])
+    e = r.normal(size=lengths.sum()) * 3
+    a = np.exp([[strength, -strength], [-strength, strength]])
+    f, b = toxicity.forward_backward(e, lengths, a)
+    cut = toxicity.marginals(e, lengths, a, 64)
+    assert np.allclose(cut, toxicity.sigmoid(f + b), rtol=1e-9, atol=1e-12)
 
 
 def test_forward_backward_is_exact():
