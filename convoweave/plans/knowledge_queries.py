@@ -10,7 +10,9 @@ from convoweave.functions import cleaning as C
 from convoweave.functions import rendering as R
 from convoweave.operators import annotation as A
 from convoweave.operators import graph as G
+from convoweave.operators import hierarchy as H
 from convoweave.operators import knowledge as K
+from convoweave.operators import link_check as LC
 from convoweave.operators import linking as L
 from convoweave.operators import pages as P
 from convoweave.operators import summaries as S
@@ -410,3 +412,49 @@ query("weekday_bars", f"WITH {B.CONV}, c AS (SELECT k::INT AS weekday, (SELECT c
     lambda s, d: P.with_bar(P.weekday_counts(B.conv(s, d), "created_at"), 20))
 query("size_labels", "SELECT doc_id, CASE WHEN 1000 * n_chars < 1048576 THEN printf('%.1f KB', 1000 * n_chars / 1024) ELSE printf('%.1f MB', 1000 * n_chars / 1048576) END AS label FROM documents")(
     lambda s, d: B.table(s, d, "documents").select("doc_id", R.size(1000 * F.col("n_chars")).alias("label")))
+
+# Link check -------------------------------------------------------------------------------------------------------
+
+_key = "lower(trim(translate({}, '[]|#^\\', '')))"
+_stem = "regexp_replace(path, '\\.md$', '')"
+CHECKED = f"""l AS ({NOTE_LINES}), found_links AS (SELECT path, unnest(regexp_extract_all(line, '\\[\\[([^\\[\\]\\n]+)\\]\\]', 1)) AS x FROM l),
+aimed AS (SELECT path, {_key.format("regexp_replace(regexp_replace(x, '(?s)[|#].*', ''), '\\.md\\s*$', '')")} AS target, count(*) AS n FROM found_links GROUP BY ALL HAVING target <> ''),
+answers AS (SELECT path, {_key.format(_stem)} AS target FROM l UNION SELECT path, {_key.format(f"string_split({_stem}, '/')[-1]")} FROM l
+UNION SELECT path, {_key.format("regexp_extract(line, '(?m)^title: \"(.*)\"$', 1)")} FROM l WHERE section <= 1),
+answered AS (SELECT target, min_by(path, (length(path), path)) AS found, count(*) AS pages FROM answers WHERE target <> '' GROUP BY target),
+checked AS (SELECT path, target, n, found, coalesce(pages, 0) AS pages FROM aimed LEFT JOIN answered USING (target))"""
+
+
+def vault_lines(s, d) -> DataFrame:
+    return stage(note_lines(s, d), "vault-lines")
+
+
+query("link_check", f"{GRAPH}, {HOPS}, {OWNERS}, {CHECKED} SELECT * FROM checked")(lambda s, d: LC.check(vault_lines(s, d)))
+query("page_quality", f"""{GRAPH}, {HOPS}, {OWNERS}, {CHECKED}, met AS (SELECT found AS path, count(DISTINCT path) AS backlinks FROM checked WHERE found <> path GROUP BY found),
+o AS (SELECT path, sum(n)::BIGINT AS links, coalesce(sum(n) FILTER (pages = 0), 0)::BIGINT AS broken, coalesce(sum(n) FILTER (pages > 1), 0)::BIGINT AS ambiguous FROM checked GROUP BY path)
+SELECT path, count(line) AS n_lines, coalesce(any_value(links), 0) AS links, coalesce(any_value(broken), 0) AS broken, coalesce(any_value(ambiguous), 0) AS ambiguous,
+coalesce(any_value(backlinks), 0) AS backlinks, any_value(backlinks) IS NULL AS orphan FROM l LEFT JOIN o USING (path) LEFT JOIN met USING (path) GROUP BY path""")(
+    lambda s, d: (lambda rows: LC.page_quality(rows, stage(LC.check(rows), "checked-links")))(vault_lines(s, d)))
+
+# Tag hierarchy ----------------------------------------------------------------------------------------------------
+
+
+def word_tree(tags: DataFrame) -> DataFrame:
+    """Words below their first three letters, those below the first: a tree that grows with the tags."""
+    three, one = F.left("tag", F.lit(3)), F.left("tag", F.lit(1))
+    return tags.select(F.col("tag").alias("node"), three.alias("parent")).unionByName(tags.select(three.alias("node"), one.alias("parent"))).distinct()
+
+
+TREE = f"""{B.TAGS}, tree AS (SELECT tag AS node, left(tag, 3) AS parent FROM tags UNION SELECT left(tag, 3), left(tag, 1) FROM tags),
+above AS (SELECT node, node AS ancestor, 0 AS depth FROM (SELECT node FROM tree UNION SELECT parent FROM tree) UNION SELECT above.node, tree.parent, depth + 1 FROM above JOIN tree ON tree.node = above.ancestor),
+rolled AS (SELECT ancestor AS tag, count(DISTINCT conv_id) FILTER (depth = 0) AS own, count(DISTINCT conv_id) AS total FROM tags JOIN above ON above.node = tags.tag GROUP BY ancestor),
+ways AS (SELECT node AS tag, string_agg(ancestor, '/' ORDER BY depth DESC) AS path FROM above GROUP BY node)"""
+query("tag_rollup", f"WITH RECURSIVE {TREE} SELECT tag, own, total, path FROM rolled JOIN ways USING (tag)")(
+    lambda s, d: (lambda t: H.rollup(t, H.closure(word_tree(t))).join(H.paths(word_tree(t)), "tag"))(stage(tags(s, d), "tags")))
+query("tag_map_lines", f"""WITH RECURSIVE {TREE}, {B.CONV}, c AS (SELECT *, 'MOCs/' || replace(path, '/', ' - ') || ' Tags.md' AS page FROM rolled JOIN ways USING (tag) WHERE total >= 3),
+nested AS (SELECT m.page, a.depth, b.path AS way, b.total AS n FROM above a JOIN c m ON m.tag = a.ancestor JOIN c b ON b.tag = a.node WHERE a.depth BETWEEN 1 AND 2),
+own AS (SELECT c.page, title FROM tags JOIN c USING (tag) JOIN conv USING (conv_id))
+SELECT page AS path, '# #' || path || chr(10) || chr(10) || total || ' conversations, ' || own || ' with the tag itself.' || chr(10) AS line FROM c
+UNION ALL SELECT DISTINCT page, '## Maps Below' || chr(10) FROM nested UNION ALL SELECT page, repeat('  ', depth - 1) || '- [[' || replace(way, '/', ' - ') || ' Tags]] (' || n || ')' FROM nested UNION ALL SELECT DISTINCT page, '' FROM nested
+UNION ALL SELECT DISTINCT page, '## Notes' || chr(10) FROM own UNION ALL SELECT page, '- ' || {_wiki.format('title')} FROM own UNION ALL SELECT DISTINCT page, '' FROM own""")(
+    lambda s, d: (lambda t: H.map_lines(B.conv(s, d), t, word_tree(t)).select("path", "line"))(stage(tags(s, d), "tags")))

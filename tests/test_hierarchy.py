@@ -1,0 +1,56 @@
+"""Tag trees against plain walks."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from convoweave.operators import hierarchy as H
+from convoweave.operators.pages import assemble
+
+
+def walk(parents, node):
+    seen, now, depth = {node: 0}, {node}, 0
+    while now:
+        depth += 1
+        now = {p for n in now for p in parents.get(n, ())} - set(seen)
+        seen |= dict.fromkeys(now, depth)
+    return seen
+
+
+def test_closure_and_counts(spark):
+    r = random.Random(2)
+    edges = [(f"n{k}", f"n{r.randrange(k)}") for k in range(1, 80)] + [(f"n{k}", f"n{r.randrange(k)}") for k in range(20, 60, 5)]
+    edges += [("x", "y"), ("y", "z"), ("z", "x"), ("x", "x"), ("n3", None), (None, "n1")] + edges[:10]
+    parents = {}
+    for n, p in edges:
+        if n is not None and p is not None and n != p:
+            parents.setdefault(n, set()).add(p)
+    tree = spark.createDataFrame(edges, "node string, parent string")
+    above = H.closure(tree)
+    nodes = set(parents) | {p for ps in parents.values() for p in ps}
+    assert sorted(map(tuple, above.collect())) == sorted((n, a, d) for n in nodes for a, d in walk(parents, n).items())
+
+    # A third of all conversations have one tag; rows repeat; some tags are not in the tree.
+    pairs = [(c, f"n{r.randrange(90)}") for c in range(300) for _ in range(3)] + [(c, "n79") for c in range(0, 300, 3)] * 2 + [(5, None), (None, "n1")]
+    got = {r["tag"]: (r["own"], r["total"]) for r in H.rollup(spark.createDataFrame(pairs, "conv_id long, tag string"), above).collect()}
+    own, total = {}, {}
+    for c, t in pairs:
+        if t is not None:
+            own.setdefault(t, set()).add(c)
+            for a in walk(parents, t):
+                total.setdefault(a, set()).add(c)
+    assert got == {t: (len(own.get(t, ())), len(total[t])) for t in total}
+
+
+def test_paths_and_maps(spark):
+    tree = spark.createDataFrame([("python", "tech"), ("pandas", "python"), ("frames", "pandas"), ("tech", "all"), ("python", "zoo")], "node string, parent string")
+    assert {r["tag"]: r["path"] for r in H.paths(tree, "kb/").collect()} == {"all": "kb/all", "tech": "kb/all/tech", "python": "kb/all/tech/python", "pandas": "kb/all/tech/python/pandas", "frames": "kb/all/tech/python/pandas/frames"}
+    notes = spark.range(6).select(F.col("id").alias("conv_id"), F.concat(F.lit("T"), "id").alias("title"))
+    tags = spark.createDataFrame([(0, "frames"), (1, "frames"), (1, "pandas"), (2, "python"), (3, "pandas"), (4, "alone"), (5, "tech")], "conv_id long, tag string")
+    pages = {r["path"]: r["content"] for r in assemble(H.map_lines(notes, tags, tree, 2)).collect()}
+    assert set(pages) == {f"MOCs/all{x} Tags.md" for x in ("", " - tech", " - tech - python", " - tech - python - pandas", " - tech - python - pandas - frames")}
+    assert pages["MOCs/all - tech Tags.md"] == (
+        "# #all/tech\n\n5 conversations, 1 with the tag itself.\n\n## Maps Below\n\n- [[all - tech - python Tags]] (4)\n  - [[all - tech - python - pandas Tags]] (3)\n\n## Notes\n\n- [[T5]]\n"
+    )
+    none = tree.limit(0)
+    assert H.closure(none).count() == 0 and H.paths(none).count() == 0 and H.map_lines(notes, tags, none, 1).count() == 0

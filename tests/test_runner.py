@@ -42,6 +42,12 @@ def test_run_resume_and_stats(spark, tmp_path, capsys):
     assert {"README.md", "Topics MOC.md", "Timeline.md", "Clusters.md", "Statistics.md", "Master MOC.md", "Open Tasks.md"} <= index
     with open(f"{tmp_path}/out/000 Index/Statistics.md") as f:
         assert "- **Total Conversations**: 7" in f.read()
+    with open(f"{tmp_path}/out/000 Index/Link Report.md") as f:
+        report = f.read()
+    assert f"Checked {found['links_checked']} links" in report and "## Broken Links" in report and "- `" in report
+    assert 0 < found["links_broken"] < found["links_checked"] == found["total_links"] and found["pages_checked"] == found["pages"]
+    shown = spark.read.parquet(f"{tmp_path}/out/graph-shown/edges")
+    assert 0 < shown.count() <= spark.read.parquet(f"{tmp_path}/out/graph/edges").where("weight >= 0.3").count() and shown.where("weight < 0.3").count() == 0
     assert not os.path.exists(f"{tmp_path}/out/.stages")
     assert spark.read.parquet(f"{tmp_path}/out/graph/nodes").where("node_type = 'conversation'").count() == 7
     stats = runner.stats(spark, f"file://{tmp_path}/out")
