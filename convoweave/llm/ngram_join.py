@@ -334,14 +334,17 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataF
     """One row of each component: that of the least id, of a null id only if there is no other.
 
     Rows are told apart by id and text, so rows that repeat an id, or have none, stay unless they are copies; of rows
-    that are equal in both, one stays. Rows without words are copies of nothing and all stay. All columns of ``docs`` are
+    that are equal in both, the least by all columns as JSON stays. Rows without words are copies of nothing and all stay. All columns of ``docs`` are
     kept, whatever their names; an empty table gives an empty one.
     """
-    key, id_, least_key = free_names(docs, "key", "id", "least")
+    key, id_, least_key, one = free_names(docs, "key", "id", "least", "one")
     least = row_components(docs, n, percent).where("n_shingles > 0 and row = component").select(F.col("row.doc_id").alias(id_), F.col("row.key").alias(least_key)).distinct()
     has_words = F.coalesce("text", F.lit("")).rlike(WORD)
-    kept = docs.where(has_words).withColumn(key, row_key()).dropDuplicates(["doc_id", key])
+    kept = docs.where(has_words).withColumn(key, row_key())
     kept = kept.join(least, (F.col(key) == F.col(least_key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    whole = F.struct(*docs.columns)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    kept = kept.groupBy("doc_id", key).agg(F.min_by(whole, others).alias(one)).select(f"{one}.*")
     return kept.select(*docs.columns).unionByName(docs.where(~has_words))
 
 

@@ -19,3 +19,10 @@ def test_keep_one_tells_rows_apart(spark):
     df = spark.createDataFrame(go + stay, "doc_id long, text string").repartition(3)
     kept = [tuple(r) for r in ngram_join.keep_one(df).collect()]
     assert sorted(kept, key=repr) == sorted(stay, key=repr)
+
+
+def test_the_one_that_stays_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(3, prose(1, 300), f"s{k % 40:02d}", None if k % 3 else "en") for k in range(400)] + [(k, prose(k, 50), "a", None) for k in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kept = [sorted(map(tuple, ngram_join.keep_one(df.repartition(n, "source")).collect()), key=repr) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == 51 and (3, prose(1, 300), "s00", "en") in kept[0]
