@@ -84,3 +84,10 @@ def test_only_non_ascii_texts_are_composed_in_python(spark):
     finally:
         C._nfc = before
     assert [r["t"] for r in out] == [t for (t,) in rows] and seen.value == 1
+
+
+def test_concept_links_ranked_has_no_persons_as_concepts(spark, tmp_path):
+    said = [(1, 0, "user", "Xabcdefghij met abcdefghij"), (2, 0, "user", "abcdefghij and nothing else")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = catalogue.queries()["concept_links_ranked"](spark, str(tmp_path)).collect()  # person:xabcdefghij ends in the concept's name
+    assert sorted((r["conv_id"], r["term"]) for r in rows) == [(1, "abcdefghij"), (1, "xabcdefghij"), (2, "abcdefghij")]
