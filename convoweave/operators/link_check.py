@@ -25,11 +25,12 @@ def key(name: Column) -> Column:
     return F.lower(F.trim(F.translate(name, "[]|#^\\", "")))
 
 
-def targets(page_lines: DataFrame) -> DataFrame:
-    """(path, target, n): what each page links to, and how often."""
+def targets(page_lines: DataFrame, written: bool = False) -> DataFrame:
+    """(path, target, n): what each page links to, and how often; ``written`` gives a row for each way the link is written."""
     found = page_lines.select("path", F.explode(F.regexp_extract_all("line", F.lit(LINK), F.lit(1))).alias("x"))
-    named = found.select("path", key(F.regexp_replace(F.regexp_replace("x", r"(?s)[|#].*", ""), r"\.md\s*$", "")).alias("target"))
-    return named.where("target <> ''").groupBy("path", "target").agg(F.count("*").alias("n"))
+    named = found.select("path", "x", key(F.regexp_replace(F.regexp_replace("x", r"(?s)[|#].*", ""), r"\.md\s*$", "")).alias("target"))
+    ways = ["x"] if written else []
+    return named.where("target <> ''").groupBy("path", "target", *ways).agg(F.count("*").alias("n")).drop("x")
 
 
 def names(page_lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -48,9 +49,9 @@ def names(page_lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return every.groupBy("target").agg(F.min_by("path", F.struct(F.length("path"), "path")).alias("found"), F.count("*").alias("pages"))
 
 
-def check(page_lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(path, target, n, found, pages): every link with the page it reaches, null and 0 for a broken one."""
-    return targets(page_lines).join(names(page_lines, aliases), "target", "left").select(
+def check(page_lines: DataFrame, aliases: DataFrame | None = None, written: bool = False) -> DataFrame:
+    """(path, target, n, found, pages): every link with the page it reaches, null and 0 for a broken one; ``written`` as in ``targets``."""
+    return targets(page_lines, written).join(names(page_lines, aliases), "target", "left").select(
         "path", "target", "n", "found", F.coalesce("pages", F.lit(0)).cast("bigint").alias("pages")
     )
 

@@ -78,3 +78,9 @@ def test_aliases_and_nothing(spark, pages):
     none = vault(spark, {"x.md": [(31, "x")]}).limit(0)
     assert LC.check(none).count() == 0
     assert LC.totals(LC.page_quality(none, LC.check(none))).first().asDict() == dict.fromkeys(("pages_checked", "links_checked", "links_broken", "links_ambiguous", "orphans"), 0)
+
+
+def test_links_written_in_several_ways_have_a_row_each_as_in_the_twin(spark):
+    rows = vault(spark, {"a.md": [(1, "[[Thing]] and [[thing]]"), (2, "[[thing]]")]})
+    assert [(r["target"], r["n"]) for r in LC.check(rows).collect()] == [("thing", 3)]
+    assert sorted((r["target"], r["n"]) for r in LC.check(rows, written=True).collect()) == [("thing", 1), ("thing", 2)]
