@@ -68,3 +68,12 @@ def test_a_family_makes_no_pairs(spark, monkeypatch):
 
 def test_empty(spark, words):
     assert D.near_duplicates(words.limit(0)).count() == 0 and D.exact_duplicates(words.limit(0)).count() == 0
+
+
+def test_unlike_rows_of_a_common_vocabulary_are_no_candidates(spark):
+    r = random.Random(5)
+    sets = [(k, [f"c{j}" for j in r.sample(range(400), 100)]) for k in range(3000)]  # similarity about 0.14, like documents of one language
+    buckets = D.signature_bands(D.word_sets(spark.createDataFrame(sets, "id long, words array<string>")))
+    assert buckets.groupBy("bucket").count().where("count > 1").count() < 30
+    assert D.near_duplicates(spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (2, ["c", "b", "a", "a"]), (3, None), (4, [])], "id long, words array<string>")).orderBy("id").collect() == [
+        (1, 1, 1.0, True), (2, 1, 1.0, False), (3, 3, 1.0, True), (4, 4, 1.0, True)]
