@@ -328,7 +328,8 @@ def with_bar(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("one", F.lit(1)).join(F.broadcast(most), "one").withColumn("bar", R.bar(F.col("n"), F.col("most"), width)).drop("one", "most")
 
 
-def statistics_lines(notes: DataFrame, messages: DataFrame, tags: DataFrame, concepts: DataFrame, nodes: DataFrame, edges: DataFrame, n_mocs: int, top_nodes: DataFrame) -> DataFrame:
+def statistics_lines(notes: DataFrame, messages: DataFrame, tags: DataFrame, concepts: DataFrame, nodes: DataFrame, n_edges: DataFrame, n_mocs: int, top_nodes: DataFrame) -> DataFrame:
+    """``n_edges``: one row (n), the number of logged edges."""
     p, start = F.lit(f"{INDEX}/Statistics.md"), notes.sparkSession.range(1)
     text = lambda c: F.col(c).cast("string")
     row = lambda df, name, value, place: lines(df, p, 1, F.concat(F.lit(f"- **{name}**: "), value), b=F.lit(place))
@@ -346,7 +347,7 @@ def statistics_lines(notes: DataFrame, messages: DataFrame, tags: DataFrame, con
         row(n_notes, "Total Conversations", text("n"), 0), row(n_messages, "Total Messages", text("n"), 1),
         row(average, "Average Messages per Conversation", F.format_string("%.1f", F.coalesce(F.try_divide("n", "k"), F.lit(0.0))), 2),
         row(date_range(notes), "Date Range", F.col("date_range"), 3), row(start, "Maps of Content", F.lit(str(n_mocs)), 4),
-        row(nodes.agg(F.count("*").alias("n")), "Graph Nodes", text("n"), 5), row(edges.agg(F.count("*").alias("n")), "Graph Edges", text("n"), 6),
+        row(nodes.agg(F.count("*").alias("n")), "Graph Nodes", text("n"), 5), row(n_edges, "Graph Edges", text("n"), 6),
         heading(2, "\n## Category Distribution\n"), by_count(categories, 3, F.concat(F.lit("- **"), "category", F.lit("**: "), text("n"), F.lit(" "), "bar"), "category"),
         heading(4, "\n## Most Active Periods\n\n### Top Months\n"), lines(months, p, 5, F.concat(F.lit("- **"), F.date_format("month", "MMMM yyyy"), F.lit("**: "), text("n"), F.lit(" conversations")), b=-F.col("n"), c=F.date_format("month", "yyyy-MM")),
         heading(6, "\n### Activity by Day of Week\n"), lines(days, p, 7, F.concat(F.lit("- **"), F.get(names, F.col("weekday")), F.lit("**: "), text("n"), F.lit(" "), "bar"), b=F.col("weekday")),
