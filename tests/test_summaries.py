@@ -80,3 +80,19 @@ def test_pages(spark, found):
     assert lines == ["# d\n", "Quite another matter here. Nothing alike can be found!\n", "## Key Decisions\n", "- go", "## Action Items\n", "- [ ] call"]
     assert S.digest_lines(made, lists, "topic", actions=False, decisions=False).count() == 2
     assert S.summaries(found.limit(0), "topic", rounds=1).count() == 0
+
+
+def test_groups_in_blocks_walk_alike(found, rows, monkeypatch):
+    """Groups of more words than a task may hold are cut, and ranks stay those of the whole graph."""
+    monkeypatch.setattr(S, "BLOCK", 60)
+    got = {(r["topic"], r["conv_id"], r["turn"], r["place"]): r["rank"] for r in S.ranked(found, "topic", 4).collect()}
+    want = {(g, *k): v for g in "abd" for k, v in plain([x[1:] for x in rows if x[0] == g], 4, 50)[0].items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
+def test_rounds_exchange_no_words(found, monkeypatch):
+    """Ten rounds over small groups stage nothing: sentences and groups are all that is written."""
+    staged, made = [], S.stage
+    monkeypatch.setattr(S, "stage", lambda df, name: staged.append(name) or made(df, name))
+    S.ranked(found, "topic", 10).collect()
+    assert staged == ["sentences", "sentence-groups"]
