@@ -13,7 +13,7 @@ first, however many copies there are, and the join runs between classes:
    all tiles). Tiles with nearly the same members mostly have the same owner, so the many tiles that two near copies
    share become a few groups, without a row for any pair. Owners are classes too: in ``ROUNDS`` rounds a group joins that
    of the first owner that its own owner has a tile of, which leaves families of near copies one or two groups.
-3. The members of a group, one row each with its shingles, meet in a task. A group of over ``BLOCK_SHINGLES`` shingles is
+3. The members of a group, one row each with its text, meet in a task, which hashes them again: a text is half as large as its shingles. A group of over ``BLOCK_SHINGLES`` shingles is
    dealt to blocks by a hash, and each pair of blocks is a task of its own, so a task's memory is bounded. Inside, bitmaps
    of hashed shingles are held against each other: bits that one has and the other lacks are distinct missing
    shingles, so their counts bound the overlap from above. Pairs that pass are verified by exact intersection of the
@@ -41,7 +41,7 @@ from convoweave.llm.samples import blocks
 from convoweave.llm.shingles import distinct_sorted, mix, shingle_hashes
 from convoweave.llm.text import WORD, free_names, row_key
 from convoweave.operators.components import connected_components
-from convoweave.shared import stage
+from convoweave.shared import discard, stage
 
 SHINGLE, PERCENT = 3, 90
 ROUNDS = 2
@@ -180,35 +180,39 @@ def small(df: DataFrame, values: Column) -> DataFrame:
 
 
 def deals(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """vid, n_copies, owner, low, high, block, earlier: the tasks that a class goes to.
+    """vid, n_copies, owner, low, high, block, earlier, id, key, n_rows: the tasks that a class goes to; staged.
 
     (low, high) are the pair of blocks held against each other, ``block`` is the class's own, ``earlier`` are the
-    owners of its groups below ``owner``.
+    owners of its groups below ``owner``; (id, key) is the class's document, which ``n_rows`` rows repeat.
     """
     left = stage(members.join(sets.select("member", "vid", "n", "n_copies"), "member").drop("member"), "join-members")
     groups = left.groupBy("owner").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
     groups = groups.select("owner", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
     kept = stage(left.join(groups, "owner"), "join-groups")
+    discard(left)
     owners = kept.groupBy("vid").agg(F.collect_list("owner").alias("owners"))
     block = F.pmod(F.xxhash64("vid"), F.col("blocks"))
     tasks = kept.join(owners, "vid").select(
         "vid", "n_copies", "owner", block.alias("block"), F.filter("owners", lambda x: x < F.col("owner")).alias("earlier"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     )
-    return tasks.select("vid", "n_copies", "owner", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "earlier")
+    dealt = tasks.select("vid", "n_copies", "owner", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "earlier")
+    of_class = sets.select("vid", F.col("doc.doc_id").alias("id"), F.col("doc.key").alias("key"), "n_rows")
+    dealt = stage(dealt.join(of_class, "vid"), "join-deals")
+    discard(kept)
+    return dealt
 
 
-def shingle_arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(vid, shingles) of the classes in ``wanted`` (vid, doc), computed again from one document of each."""
-    chosen = small(stage(wanted.select("vid", F.col("doc.doc_id").alias("id"), F.col("doc.key").alias("key")), "join-wanted"), F.lit(3))
-    texts = docs.select("doc_id", "text", row_key().alias("key")).join(chosen, ["key"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+def dealt_texts(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``tasks`` with the text of each class, that of its one document; of rows that repeat both id and text only one is taken."""
+    texts = docs.select("doc_id", "text", row_key().alias("key"))
 
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in blocks(batches, 2_000, BLOCK_CHARS):
-            doc, h = distinct_sorted(*shingle_hashes(b["text"].tolist(), n))
-            ends = np.cumsum(np.bincount(doc, minlength=len(b)))
-            yield pd.DataFrame({"vid": b["vid"].to_numpy(), "shingles": [h[i:j].tobytes() for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)]})
+    def of(wanted: DataFrame) -> DataFrame:
+        return texts.join(small(wanted, F.size("earlier") + 9), "key").where(F.col("doc_id").eqNullSafe(F.col("id"))).select("vid", "n_copies", "owner", "low", "high", "block", "earlier", "text")
 
-    return texts.groupBy("vid").agg(F.first("text").alias("text")).mapInPandas(again, "vid long, shingles binary")
+    rows, repeated = of(tasks.where("n_rows = 1")), tasks.where("n_rows > 1")
+    if repeated.head(1):
+        rows = rows.unionByName(of(repeated).groupBy("vid", "owner", "low", "high").agg(*[F.first(c).alias(c) for c in ("n_copies", "block", "earlier", "text")]))
+    return rows
 
 
 def bitmaps(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -282,35 +286,40 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     """(a, null, links) for every class with links to others, and edges (a, b, null) that connect them."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            names = rows[["owner", "low", "high"]].to_numpy()
+        kept, name = [], None
+        for batch in blocks(batches, 2_000, BLOCK_CHARS):
+            doc, h = distinct_sorted(*shingle_hashes(batch["text"].tolist(), n))
+            ends = np.cumsum(np.bincount(doc, minlength=len(batch)))
+            batch = batch.drop(columns="text").assign(shingles=[h[i:j].tobytes() for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)])
+            names = batch[["owner", "low", "high"]].to_numpy()
             starts = np.r_[0, np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1]
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                if j - i > 1:
-                    yield resolve(rows.iloc[i:j], percent)
-            kept = rows.iloc[starts[-1] :]
-        if kept is not None and len(kept) > 1:
-            yield resolve(kept, percent)
+            for i, j in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if name != tuple(names[i]):
+                    if sum(map(len, kept)) > 1:
+                        yield resolve(pd.concat(kept), percent)
+                    kept, name = [], tuple(names[i])
+                kept.append(batch.iloc[i:j])
+        if sum(map(len, kept)) > 1:
+            yield resolve(pd.concat(kept), percent)
 
     members = stage(group_members(docs, n, percent), "join-tiles")
     for _ in range(ROUNDS):
-        members = stage(merged_groups(members), "join-merged")
-    tasks = stage(deals(members, sets), "join-deals")
-    wanted = tasks.select("vid").distinct().join(sets.select("vid", "doc"), "vid")
-    rows = shingle_arrays(docs, wanted, n).join(small(tasks, F.size("earlier") + 6), "vid")
-    dealt = rows.repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
-    return stage(dealt.mapInPandas(search, "a long, b long, links long"), "join-links")
+        members, before = stage(merged_groups(members), "join-merged"), members
+        discard(before)
+    tasks = deals(members, sets)
+    discard(members)
+    dealt = dealt_texts(docs, tasks).repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
+    links = stage(dealt.mapInPandas(search, "a long, b long, links long"), "join-links")
+    discard(tasks)
+    return links
 
 
 def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """row, n_shingles, component (its least row), n_copies, n_links of every row; a row is (no_id, doc_id, key), so null ids come last."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     rows = stage(document_sets(docs, n).select(row.alias("row"), F.col("n").alias("n_shingles"), "member", "rest"), "join-rows")
-    classes = rows.where("n_shingles > 0").groupBy("member", "rest", F.col("n_shingles").alias("n")).agg(F.min("row").alias("doc"), F.count("*").alias("n_copies"))
+    each = rows.where("n_shingles > 0").groupBy("member", "rest", F.col("n_shingles").alias("n"), "row").agg(F.count("*").alias("n_rows"))
+    classes = each.groupBy("member", "rest", "n").agg(F.min("row").alias("doc"), F.sum("n_rows").alias("n_copies"), F.min_by("n_rows", "row").alias("n_rows"))
     sets = stage(classes.withColumn("vid", F.monotonically_increasing_id()), "join-classes")
     found = class_links(docs, sets, n, percent)
     comps = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("v", "vid")
@@ -337,15 +346,22 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataF
     that are equal in both, the least by all columns as JSON stays. Rows without words are copies of nothing and all stay. All columns of ``docs`` are
     kept, whatever their names; an empty table gives an empty one.
     """
-    key, id_, least_key, one = free_names(docs, "key", "id", "least", "one")
-    least = row_components(docs, n, percent).where("n_shingles > 0 and row = component").select(F.col("row.doc_id").alias(id_), F.col("row.key").alias(least_key)).distinct()
+    key, id_, least_key, one, times = free_names(docs, "key", "id", "least", "one", "times")
+    stay = row_components(docs, n, percent).where("n_shingles > 0 and row = component")
+    least = stage(stay.groupBy(F.col("row.doc_id").alias(id_), F.col("row.key").alias(least_key)).agg(F.count("*").alias(times)), "join-least")
     has_words = F.coalesce("text", F.lit("")).rlike(WORD)
-    kept = docs.where(has_words).withColumn(key, row_key())
-    kept = kept.join(least, (F.col(key) == F.col(least_key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
-    whole = F.struct(*docs.columns)
-    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
-    kept = kept.groupBy("doc_id", key).agg(F.min_by(whole, others).alias(one)).select(f"{one}.*")
-    return kept.select(*docs.columns).unionByName(docs.where(~has_words))
+    worded = docs.where(has_words).withColumn(key, row_key())
+
+    def of(those: DataFrame) -> DataFrame:
+        return worded.join(small(those, F.lit(2)), (F.col(key) == F.col(least_key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+
+    kept, repeated = of(least.where(F.col(times) == 1)).select(*docs.columns), least.where(F.col(times) > 1)
+    if repeated.head(1):  # only these are brought together
+        whole = F.struct(*docs.columns)
+        others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+        first = of(repeated).groupBy("doc_id", key).agg(F.min_by(whole, others).alias(one)).select(f"{one}.*")
+        kept = kept.unionByName(first.select(*docs.columns))
+    return kept.unionByName(docs.where(~has_words))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
